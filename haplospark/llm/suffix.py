@@ -45,7 +45,7 @@ COVERS = {
 }
 BLOCK_BYTES = 4 << 20
 BUCKET_ENTRIES = 1 << 20
-PASSES = 4
+PASSES = 2
 ROW = "block long, kind int, no int, a binary, b binary, c binary, d binary"
 NAMES = ["block", "kind", "no", "a", "b", "c", "d"]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -271,14 +271,17 @@ class Candidates:
         data = np.frombuffer(zstandard.ZstdDecompressor().decompress(c), np.uint8)
         return cls(runs[0], runs[1], runs[2], heads[0], heads[1].view(np.uint64), data, length)
 
-    def firsts(self, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The first suffix of each name, ordered by (bucket, position); its bucket; and which suffixes come later."""
-        _, first = np.unique(self.names, return_index=True)
-        later = np.ones(len(self.names), bool)
+    def firsts(self, n_buckets: int, of_pass: int = 0, passes: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the pass's buckets: the first suffix of each name, ordered by (bucket, position); its bucket; which suffixes come later."""
+        bucket = (self.names >> np.uint64(20)) % np.uint64(n_buckets)
+        own = np.flatnonzero(bucket % np.uint64(passes) == of_pass) if passes > 1 else np.arange(len(bucket))
+        _, first = np.unique(self.names[own], return_index=True)
+        first = own[first]
+        later = np.zeros(len(self.names), bool)
+        later[own] = True
         later[first] = False
-        bucket = (self.names[first] >> np.uint64(20)) % np.uint64(n_buckets)
-        order = np.lexsort((first, bucket))
-        return first[order], bucket[order], later
+        key = np.sort(bucket[first] << np.uint64(40) | first.astype(np.uint64))
+        return (key & np.uint64((1 << 40) - 1)).astype(np.int64), key >> np.uint64(40), later
 
 
 def _gather(run: list[tuple], kind: int) -> list[tuple]:
@@ -339,7 +342,7 @@ def _ties(candidates: DataFrame, length: int, n_buckets: int, of_pass: int, pass
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             found = Candidates.unpack(row[3], row[4], row[5], length)
-            first, bucket, _ = found.firsts(n_buckets)
+            first, bucket, _ = found.firsts(n_buckets, of_pass, passes)
             cuts = _splits(bucket, n_buckets)
             out = []
             for k in range(of_pass, n_buckets, passes):
@@ -362,7 +365,8 @@ def _ties(candidates: DataFrame, length: int, n_buckets: int, of_pass: int, pass
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             rank = np.repeat(rank, keys[2])
-            by = np.lexsort((np.arange(len(names)), rank, names))
+            by = np.argsort(rank, kind="stable")
+            by = by[np.argsort(names[by], kind="stable")]
             sorted_names = names[by]
             later = np.zeros(len(names), bool)
             later[by[1:]] = sorted_names[1:] == sorted_names[:-1]
