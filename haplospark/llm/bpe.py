@@ -30,9 +30,11 @@ from pyspark.sql import DataFrame
 from haplospark.llm.common import BROADCAST_LIMIT, chunks, input_columns, map_rows, texts_of
 
 #: Pre-tokens that a worker remembers, and the longest that it keeps.
-CACHE_ENTRIES, CACHE_LENGTH = 300_000, 64
+CACHE_ENTRIES, CACHE_LENGTH = 500_000, 64
 #: Bytes of unknown pre-tokens that share one rank queue.
 QUEUE_BYTES = 1 << 18
+#: What a worker process remembers between its tasks: by vocabulary digest, pre-token to (decimal ids, ids).
+_KNOWN: dict[str, dict[str, tuple[str, tuple[int, ...]]]] = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -162,7 +164,14 @@ class Encoder:
         return out
 
 
-def _learn(encoder: Encoder, unknown: list[str], into: dict[str, tuple[int, ...]]) -> None:
+def _remembered(key: str) -> dict:
+    if key not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[key] = {}
+    return _KNOWN[key]
+
+
+def _learn(encoder: Encoder, unknown: list[str], into: dict[str, tuple[str, tuple[int, ...]]]) -> None:
     batch: list[str] = []
     size = 0
     for i, word in enumerate(unknown):
@@ -170,7 +179,7 @@ def _learn(encoder: Encoder, unknown: list[str], into: dict[str, tuple[int, ...]
         size += len(word)
         if size >= QUEUE_BYTES or i == len(unknown) - 1:
             for w, ids in zip(batch, encoder.encode([w.encode() for w in batch])):
-                into[w] = tuple(ids)
+                into[w] = (" ".join(map(str, ids)), tuple(ids))
             batch, size = [], 0
 
 
@@ -187,6 +196,8 @@ def encode_documents(
     if sum(len(k) + 64 for k in ranks) > BROADCAST_LIMIT:
         raise ValueError("the vocabulary is too large to broadcast")
     shared = df.sparkSession.sparkContext.broadcast(ranks)
+    with open(vocabulary, "rb") as f:
+        version = hashlib.sha256(f.read()).hexdigest()
     rows = input_columns(df, id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +206,7 @@ def encode_documents(
         for token, rank in shared.value.items():
             table[rank] = token
         find = regex.compile(pattern).findall
-        known: dict[str, tuple[int, ...]] = {}
+        known = _remembered(version)
         for whole in batches:
             for batch in chunks(whole, "text", 2 << 20):
                 words = [find(text) for text in texts_of(batch)]
@@ -204,10 +215,11 @@ def encode_documents(
                 look = known.__getitem__
                 counts, digests, back, sizes, all_ids = [], [], [], [], []
                 for found in words:
-                    ids = [i for word in map(look, found) for i in word]
+                    entries = list(map(look, found))
+                    ids = [i for entry in entries for i in entry[1]]
                     data = b"".join([table[i] for i in ids])
                     counts.append(len(ids))
-                    digests.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                    digests.append(hashlib.sha256(" ".join([entry[0] for entry in entries]).encode()).hexdigest())
                     back.append(hashlib.sha256(data).hexdigest())
                     sizes.append(len(data))
                     if with_ids:
