@@ -10,16 +10,24 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from haplospark.llm import bpe, langid, mixing, simhash, suffix
 from haplospark.llm.common import materialise
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns under names of our own, which clash with nothing, and those names by column."""
+    own = {c: f"c{i}_" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*own.values()), own
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null text, or no letter in it) go."""
     sample = langid.fit_sample(docs.where(~langid.held_out()))
-    found = langid.identify(docs, sample, keep=["text", "lang", "source", "n_chars"])
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
+    rows, own = _plain(docs)
+    found = langid.identify(rows, sample, own["doc_id"], own["text"], keep=[c for k, c in own.items() if k != "doc_id"])
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*own.values()).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,21 +39,33 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 100 bytes or more that stand earlier go; n_chars follows the text."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    left = suffix.remove_repeats(docs, length=100, keep=rest, with_text=True)
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    rows, own = _plain(docs)
+    rest = [c for k, c in own.items() if k not in ("doc_id", "text")]
+    left = suffix.remove_repeats(rows, 100, own["doc_id"], own["text"], keep=rest, with_text=True)
+    left = left.withColumn(own["n_chars"], F.length(own["text"]).cast("long"))
+    return left.select(*own.values()).toDF(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document comes once for each pass that takes it whole, and once with its first words where a pass ends in it."""
-    taken = mixing.mix(docs).where("taken > 0").select("doc_id", "passes", "part")
+    """A document comes once for each pass that takes it whole, and once with its first words where a pass ends in it.
+
+    Rows are known by hashes of id, source and text, so null and repeated ids are told
+    apart; rows equal in all three are interchangeable, and only their count matters.
+    """
+    keys = [F.xxhash64("doc_id", "source", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "source", "doc_id").alias("k2")]
+    taken = mixing.mix(docs.select(F.struct(*keys).alias("key"), "source", "text"), id_col="key").where("taken > 0")
     whole = F.array_repeat(F.lit(0).cast("long"), F.col("passes").cast("int"))
     copies = F.concat(whole, F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")))
-    slots = taken.select("doc_id", F.explode(copies).alias("first_words"))
-    cut = F.concat(F.lit("^[\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+){"), F.col("first_words").cast("string"), F.lit("}"))
-    text = F.when(F.col("first_words") > 0, F.regexp_extract("text", cut, 0)).otherwise(F.col("text"))
-    out = docs.join(slots, "doc_id").withColumn("text", text)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    slots = taken.select("key.k1", "key.k2", F.explode(copies).alias("first_words"))
+    one_of_equals = F.row_number().over(W.partitionBy("k1", "k2").orderBy("k1"))
+    _, own = _plain(docs)
+    known = docs.select(*[F.col(f"`{k}`").alias(c) for k, c in own.items()], *keys).withColumn("n", one_of_equals).where("n = 1")
+    words = F.regexp_extract_all(own["text"], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("first_words").cast("int")), "")
+    text = F.when(F.col("first_words") > 0, cut).otherwise(F.col(own["text"]))
+    out = known.join(slots, ["k1", "k2"]).withColumn(own["text"], text)
+    out = out.withColumn(own["n_chars"], F.length(own["text"]).cast("long"))
+    return out.select(*own.values()).toDF(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

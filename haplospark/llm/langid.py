@@ -190,7 +190,7 @@ def identify(df: DataFrame, sample: dict[str, str], id_col: str = "doc_id", text
     one language). An empty sample makes every text ``und``.
     """
     keep = keep or []
-    rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *keep)
+    rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *[F.col(f"`{k}`") for k in keep])
     shared = df.sparkSession.sparkContext.broadcast(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

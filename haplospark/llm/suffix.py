@@ -45,7 +45,7 @@ COVERS = {
 }
 BLOCK_BYTES = 4 << 20
 BUCKET_ENTRIES = 1 << 20
-PASSES = 2
+PASSES = 3
 ROW = "block long, kind int, no int, a binary, b binary, c binary, d binary"
 NAMES = ["block", "kind", "no", "a", "b", "c", "d"]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
