@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from haplospark.llm.common import BROADCAST_LIMIT, chunks, input_columns, map_rows, texts_of
 
 #: Pre-tokens that a worker remembers, and the longest that it keeps.
-CACHE_ENTRIES, CACHE_LENGTH = 500_000, 64
+CACHE_ENTRIES, CACHE_LENGTH = 200_000, 64
 #: Bytes of unknown pre-tokens that share one rank queue.
 QUEUE_BYTES = 1 << 18
 #: What a worker process remembers between its tasks: by vocabulary digest, pre-token to (decimal ids, ids).

@@ -43,7 +43,7 @@ from haplospark.llm.common import map_rows, materialise
 COVERS = {
     7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52),
 }
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BUCKET_ENTRIES = 1 << 20
 PASSES = 3
 ROW = "block long, kind int, no int, a binary, b binary, c binary, d binary"
@@ -252,12 +252,14 @@ class Candidates:
         self.doc, self.start, self.n, self.ids, self.shas, self.data = doc, start, n, ids, shas, data
         sizes = n + length - 1
         base = np.cumsum(sizes) - sizes
-        first = np.cumsum(n) - n
-        within = np.arange(n.sum()) - np.repeat(first, n)
-        self.at = np.repeat(base, n) + within  # in data
-        self.owner = np.repeat(doc, n)
-        self.offset = np.repeat(start, n) + within  # in the document
-        self.names = names_at(data, self.at, length)
+        self.first = np.cumsum(n) - n
+        at = np.arange(n.sum()) + np.repeat(base - self.first, n)
+        self.names = names_at(data, at, length)
+
+    def places(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Document and offset of the suffixes with these numbers."""
+        run = np.searchsorted(self.first, k, side="right") - 1
+        return self.doc[run], self.start[run] + k - self.first[run]
 
     def pack(self) -> tuple[bytes, bytes, bytes]:
         runs = np.stack([self.doc, self.start, self.n]).astype("<i8").tobytes()
@@ -348,7 +350,7 @@ def _ties(candidates: DataFrame, length: int, n_buckets: int, of_pass: int, pass
             for k in range(of_pass, n_buckets, passes):
                 s, e = cuts[k], cuts[k + 1]
                 if e > s:
-                    docs = found.owner[first[s:e]]
+                    docs = found.places(first[s:e])[0]
                     heads = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
                     runs = np.diff(np.concatenate([heads, [e - s]]))
                     d = docs[heads]
@@ -399,7 +401,8 @@ def _cut(blocks: DataFrame, copies: DataFrame, candidates: DataFrame, ties: Data
                 for t in _gather(group, 4):
                     s, e = cuts[t[2]], cuts[t[2] + 1]
                     later[first[s:e]] |= np.unpackbits(np.frombuffer(t[3], np.uint8), count=int(e - s)).astype(bool)
-                at = block.starts[found.owner[later]] + found.offset[later]
+                doc, offset = found.places(np.flatnonzero(later))
+                at = block.starts[doc] + offset
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + length, -1)
             for r in _gather(group, 1):
