@@ -10,7 +10,8 @@ from haplospark.plans.base import ALLC, DOSAGE, PHENO, allc, dosage, pheno
 from haplospark.plans.registry import query, table
 from haplospark.streaming.accumulate import site_accumulators
 
-one = F.count(F.lit(1))
+def one():
+    return F.count(F.lit(1))
 
 
 def r6(c):
@@ -39,7 +40,7 @@ def a3(spark, d):
 def a4(spark, d):
     level = F.col("m") / F.col("t")
     per = allc(spark, d).groupBy("accession", "chrom", F.floor(F.col("site") / 100).alias("win")).agg(F.sum("mc").alias("m"), F.sum("total").alias("t")).where("t >= 10")
-    return per.groupBy("chrom", "win").agg(one.alias("n"), r6(F.avg(level)).alias("mean_p"), r6(F.var_pop(level)).alias("var_p"))
+    return per.groupBy("chrom", "win").agg(one().alias("n"), r6(F.avg(level)).alias("mean_p"), r6(F.var_pop(level)).alias("var_p"))
 
 
 @query("a5_file_qc", f"with {ALLC} select accession, count(*) as n_rows, count(distinct chrom) as n_chroms, max(site) as max_pos, round(avg(total), 6) as mean_cov, round(sum(case when context = 'R' then mc end) * 1.0 / nullif(sum(case when context = 'R' then total end), 0), 6) as level_r from allc group by 1")
@@ -47,7 +48,7 @@ def a5(spark, d):
     own = F.col("context") == "R"
     level = F.sum(F.when(own, F.col("mc"))) / F.nullif(F.sum(F.when(own, F.col("total"))), F.lit(0))
     return allc(spark, d).groupBy("accession").agg(
-        one.alias("n_rows"), F.count_distinct("chrom").alias("n_chroms"), F.max("site").alias("max_pos"), r6(F.avg("total")).alias("mean_cov"), r6(level).alias("level_r")
+        one().alias("n_rows"), F.count_distinct("chrom").alias("n_chroms"), F.max("site").alias("max_pos"), r6(F.avg("total")).alias("mean_cov"), r6(level).alias("level_r")
     )
 
 
@@ -63,14 +64,14 @@ def a6(spark, d):
 @query("a12_allele_frequency", f"with {DOSAGE} select variant, count(*) as n, round(avg(dosage) / 2, 6) as af, round(least(avg(dosage) / 2, 1 - avg(dosage) / 2), 6) as maf from dosage group by 1")
 def a12(spark, d):
     af = F.avg("dosage") / 2
-    return dosage(spark, d).groupBy("variant").agg(one.alias("n"), r6(af).alias("af"), r6(F.least(af, 1 - af)).alias("maf"))
+    return dosage(spark, d).groupBy("variant").agg(one().alias("n"), r6(af).alias("af"), r6(F.least(af, 1 - af)).alias("maf"))
 
 
 @query("p3_variant_qc", f"with {DOSAGE}, n as (select count(distinct sample) as samples from dosage) select variant, round(1 - count(*) * 1.0 / max(samples), 6) as missing, round(least(avg(dosage) / 2, 1 - avg(dosage) / 2), 6) as maf from dosage, n group by 1 having count(*) * 1.0 / max(samples) >= 0.1 and least(avg(dosage) / 2, 1 - avg(dosage) / 2) >= 0.01")
 def p3(spark, d):
     calls = dosage(spark, d)
     af = F.avg("dosage") / 2
-    stats = calls.groupBy("variant").agg(one.alias("n"), F.least(af, 1 - af).alias("maf"))
+    stats = calls.groupBy("variant").agg(one().alias("n"), F.least(af, 1 - af).alias("maf"))
     total = calls.agg(F.count_distinct("sample").alias("samples"))
     rate = F.col("n") / F.col("samples")
     return stats.join(F.broadcast(total)).where((rate >= 0.1) & (F.col("maf") >= 0.01)).select("variant", r6(1 - rate).alias("missing"), r6("maf").alias("maf"))
@@ -80,7 +81,7 @@ def p3(spark, d):
 def a11(spark, d):
     per = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("chrom"), F.floor(F.col("l_partkey") / 50).alias("win")).agg(F.count_distinct("l_partkey").alias("n"))
     return per.groupBy("chrom").agg(
-        one.alias("windows"), F.sum("n").alias("total"), r6(F.avg("n")).alias("mean"), r6(F.percentile("n", F.lit(0.5))).alias("median"), F.max("n").alias("most"), F.min("n").alias("least")
+        one().alias("windows"), F.sum("n").alias("total"), r6(F.avg("n")).alias("mean"), r6(F.percentile("n", F.lit(0.5))).alias("median"), F.max("n").alias("most"), F.min("n").alias("least")
     )
 
 
@@ -95,12 +96,12 @@ def a20(spark, d):
     stats = calls.groupBy("variant").agg(F.avg("dosage").alias("m"), F.stddev_pop("dosage").alias("s")).where("s > 0")
     z = calls.where("sample <= 60").join(stats, "variant").select("sample", "variant", ((F.col("dosage") - F.col("m")) / F.col("s")).alias("z"))
     a, b = z.select("variant", F.col("sample").alias("i"), F.col("z").alias("za")), z.select("variant", F.col("sample").alias("j"), F.col("z").alias("zb"))
-    return a.join(b, "variant").where("i <= j").groupBy("i", "j").agg(F.round(F.sum(F.col("za") * F.col("zb")), 4).alias("k"), one.alias("shared"))
+    return a.join(b, "variant").where("i <= j").groupBy("i", "j").agg(F.round(F.sum(F.col("za") * F.col("zb")), 4).alias("k"), one().alias("shared"))
 
 
 @query("a21_coverage_table", f"with {PHENO} select trait, count(distinct case when value is not null then iid end) as accessions, count(*) as n from pheno group by 1")
 def a21(spark, d):
-    return pheno(spark, d).groupBy("trait").agg(F.count_distinct(F.when(F.col("value").isNotNull(), F.col("iid"))).alias("accessions"), one.alias("n"))
+    return pheno(spark, d).groupBy("trait").agg(F.count_distinct(F.when(F.col("value").isNotNull(), F.col("iid"))).alias("accessions"), one().alias("n"))
 
 
 @query("a22_group_deviation", f"with {PHENO} select iid, round(value - avg(value) over (partition by trait), 4) as deviation from pheno")
@@ -110,8 +111,8 @@ def a22(spark, d):
 
 @query("a24_carrier_counts", f"with {DOSAGE}, c as (select *, count(*) over (partition by variant) as ac from dosage) select sample, count(*) as carried, count(case when ac <= 8 then 1 end) as rare from c group by 1")
 def a24(spark, d):
-    c = dosage(spark, d).withColumn("ac", one.over(W.partitionBy("variant")))
-    return c.groupBy("sample").agg(one.alias("carried"), F.count(F.when(F.col("ac") <= 8, 1)).alias("rare"))
+    c = dosage(spark, d).withColumn("ac", one().over(W.partitionBy("variant")))
+    return c.groupBy("sample").agg(one().alias("carried"), F.count(F.when(F.col("ac") <= 8, 1)).alias("rare"))
 
 
 METRIC = "m as (select l_linenumber as grp, case when l_partkey % 11 = 0 then null else l_extendedprice / 1000 end as t, l_quantity * 1.5 as p from lineitem)"
@@ -129,7 +130,7 @@ def a26(spark, d):
 @query("a27_token_nll", "select lang, count(*) as n, round(sum(n_chars * 0.7) / sum(n_chars), 6) as nats, round(exp(sum(n_chars * 0.7) / sum(n_chars)), 6) as perplexity, round(sum(n_chars * 0.7) / sum(n_chars) / 6 / ln(2), 6) as bits_per_base from documents group by 1")
 def a27(spark, d):
     nats = F.sum(F.col("n_chars") * 0.7) / F.sum("n_chars")
-    return table(spark, d, "documents").groupBy("lang").agg(one.alias("n"), r6(nats).alias("nats"), r6(F.exp(nats)).alias("perplexity"), r6(nats / 6 / F.log(F.lit(2.0))).alias("bits_per_base"))
+    return table(spark, d, "documents").groupBy("lang").agg(one().alias("n"), r6(nats).alias("nats"), r6(F.exp(nats)).alias("perplexity"), r6(nats / 6 / F.log(F.lit(2.0))).alias("bits_per_base"))
 
 
 @query("a28_cross_tab", "select l_returnflag as context, count(case when l_linestatus = 'F' then 1 end) as f, count(case when l_linestatus = 'O' then 1 end) as o from lineitem group by 1")
@@ -185,18 +186,18 @@ def w17(spark, d):
 @query("w7_density", "with s as (select distinct l_linenumber as chrom, l_partkey as pos from lineitem) select chrom, pos, count(*) over (partition by chrom order by pos range between 100 preceding and 100 following) as near from s")
 def w7(spark, d):
     s = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("chrom"), F.col("l_partkey").alias("pos")).distinct()
-    return s.withColumn("near", one.over(W.partitionBy("chrom").orderBy("pos").rangeBetween(-100, 100)))
+    return s.withColumn("near", one().over(W.partitionBy("chrom").orderBy("pos").rangeBetween(-100, 100)))
 
 
 @query("w5_upstream_markov", "with c as (select conv_id, turn, length(text) % 2 as allele, lag(length(text) % 2) over (partition by conv_id order by turn) as prev from conversations) select turn, prev, count(*) as n, round((sum(allele) + 0.5) / (count(*) + 1.0), 6) as p from c where prev is not null group by 1, 2")
 def w5(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", (F.length("text") % 2).alias("allele"))
     c = c.withColumn("prev", F.lag("allele").over(W.partitionBy("conv_id").orderBy("turn"))).where("prev is not null")
-    return c.groupBy("turn", "prev").agg(one.alias("n"), r6((F.sum("allele") + 0.5) / (one + 1.0)).alias("p"))
+    return c.groupBy("turn", "prev").agg(one().alias("n"), r6((F.sum("allele") + 0.5) / (one() + 1.0)).alias("p"))
 
 
 @query("w20_quintile_strata", f"with {PHENO}, q as (select trait, quantile_cont(value, 0.2) as a, quantile_cont(value, 0.4) as b, quantile_cont(value, 0.6) as c, quantile_cont(value, 0.8) as d from pheno where value is not null group by 1) select trait, case when value >= d then 4 when value >= c then 3 when value >= b then 2 when value >= a then 1 else 0 end as stratum, count(*) as n from pheno join q using (trait) where value is not null group by 1, 2")
 def w20(spark, d):
     p = pheno(spark, d).where("value is not null")
     q = p.groupBy("trait").agg(F.percentile("value", F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8)))).alias("q"))
-    return p.join(q, "trait").groupBy("trait", F.size(F.filter("q", lambda x: x <= F.col("value"))).alias("stratum")).agg(one.alias("n"))
+    return p.join(q, "trait").groupBy("trait", F.size(F.filter("q", lambda x: x <= F.col("value"))).alias("stratum")).agg(one().alias("n"))
