@@ -90,11 +90,11 @@ def a19(spark, d):
     return pheno(spark, d).groupBy("grp", "trait").agg(F.count("value").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
 
 
-@query("a20_grm", f"with {DOSAGE}, v as (select variant, avg(dosage) as m, stddev_pop(dosage) as s from dosage group by 1 having stddev_pop(dosage) > 0), z as (select sample, variant, (dosage - m) / s as z from dosage join v using (variant) where sample <= 60) select a.sample as i, b.sample as j, round(sum(a.z * b.z), 4) as k, count(*) as shared from z a join z b on a.variant = b.variant and a.sample <= b.sample group by 1, 2")
+@query("a20_grm", f"with {DOSAGE}, v as (select variant, avg(dosage) as m, stddev_pop(dosage) as s from dosage group by 1 having stddev_pop(dosage) > 0), z as (select sample, variant, (dosage - m) / s as z from dosage join v using (variant)) select a.sample as i, b.sample as j, round(sum(a.z * b.z), 4) as k, count(*) as shared from z a join z b on a.variant = b.variant and a.sample <= b.sample group by 1, 2")
 def a20(spark, d):
     calls = dosage(spark, d)
     stats = calls.groupBy("variant").agg(F.avg("dosage").alias("m"), F.stddev_pop("dosage").alias("s")).where("s > 0")
-    z = calls.where("sample <= 60").join(stats, "variant").select("sample", "variant", ((F.col("dosage") - F.col("m")) / F.col("s")).alias("z"))
+    z = calls.join(stats, "variant").select("sample", "variant", ((F.col("dosage") - F.col("m")) / F.col("s")).alias("z"))
     a, b = z.select("variant", F.col("sample").alias("i"), F.col("z").alias("za")), z.select("variant", F.col("sample").alias("j"), F.col("z").alias("zb"))
     return a.join(b, "variant").where("i <= j").groupBy("i", "j").agg(F.round(F.sum(F.col("za") * F.col("zb")), 4).alias("k"), one().alias("shared"))
 

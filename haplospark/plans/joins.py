@@ -9,7 +9,7 @@ from haplospark.functions import seq
 from haplospark.operators.interval import point_in_interval
 from haplospark.operators.sampling import split_ids, stratified
 from haplospark.operators.windows import greedy_windows
-from haplospark.plans.base import PHENO, SITES, dosage, pheno, sites
+from haplospark.plans.base import PHENO, SITES, pheno, sites
 from haplospark.plans.registry import query, table
 
 def one():
@@ -32,11 +32,11 @@ def w2(spark, d):
     return greedy_windows(sites(spark, d), 25, "overlap", 5)
 
 
-@query("j3_site_windows", f"with {SITES}, w as (select distinct chrom, (pos // 40) * 40 - 7 as start, (pos // 40) * 40 + 29 as stop from sites where pos % 3 = 0) select s.chrom, s.pos, w.start from sites s join w on s.chrom = w.chrom and s.pos >= w.start and s.pos < w.stop")
+@query("j3_site_windows", f"with {SITES}, w as (select distinct chrom, (pos // 40) * 40 - 7 as start, (pos // 40) * 40 + 29 as stop from sites) select s.chrom, s.pos, w.start from sites s join w on s.chrom = w.chrom and s.pos >= w.start and s.pos < w.stop")
 def j3(spark, d):
     s = sites(spark, d)
     low = F.floor(F.col("pos") / 40) * 40
-    w = s.where("pos % 3 = 0").select("chrom", (low - 7).alias("start"), (low + 29).alias("stop")).distinct()
+    w = s.select("chrom", (low - 7).alias("start"), (low + 29).alias("stop")).distinct()
     return point_in_interval(s, w, ["chrom"], "pos", "start", "stop", "left", 64).select("chrom", "pos", "start")
 
 
@@ -68,48 +68,62 @@ def j10(spark, d):
     return n.select("chrom", "pos", near.alias("nearest"))
 
 
-@query("j15_id_overlap", "select coalesce(c.c_custkey, o.k) as id, c.c_custkey is not null as in_a, o.k is not null as in_b from (select c_custkey from customer where c_custkey % 5 <> 0) c full outer join (select distinct o_custkey as k from orders) o on c.c_custkey = o.k")
+@query("j15_id_overlap", "select coalesce(c.c_custkey, o.k) as id, c.c_custkey is not null as in_a, o.k is not null as in_b from (select c_custkey from customer where c_acctbal > 0) c full outer join (select distinct o_custkey as k from orders) o on c.c_custkey = o.k")
 def j15(spark, d):
-    a = table(spark, d, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("id"), F.lit(True).alias("in_a"))
+    a = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.lit(True).alias("in_a"))
     b = table(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct().withColumn("in_b", F.lit(True))
     return a.join(b, "id", "full").na.fill(False, ["in_a", "in_b"])
 
 
-@query("j24_prior_weights", f"with {PHENO}, w as (select iid, value / avg(value) over () as w from pheno where value > 0 and iid % 2 = 0) select p.iid, round(coalesce(w, 1.0), 6) as weight from pheno p left join w using (iid)")
+@query("j24_prior_weights", f"with {PHENO}, w as (select iid, value / avg(value) over () as w from pheno where value > 0) select p.iid, round(coalesce(w, 1.0), 6) as weight from pheno p left join w using (iid)")
 def j24(spark, d):
     p = pheno(spark, d)
-    known = p.where("value > 0 and iid % 2 = 0")
+    known = p.where("value > 0")
     mean = known.agg(F.avg("value").alias("mean"))
     w = known.join(F.broadcast(mean)).select("iid", (F.col("value") / F.col("mean")).alias("w"))
     return p.select("iid").join(w, "iid", "left").select("iid", F.round(F.coalesce("w", F.lit(1.0)), 6).alias("weight"))
 
 
 HAPS = """calls as (select distinct l_suppkey as sample, l_partkey // 25 as window_id, l_partkey as pos from lineitem where l_returnflag = 'R'),
-spine as (select s, w from (select distinct l_suppkey as s from lineitem where l_suppkey <= 40) a, (select distinct l_partkey // 25 as w from lineitem) b),
+spine as (select s, w from (select distinct l_suppkey as s from lineitem) a, (select distinct l_partkey // 25 as w from lineitem) b),
 fp as (select s as sample, w as window_id, coalesce(string_agg(cast(pos as varchar), ',' order by pos), '') as alts from spine left join calls on s = sample and w = window_id group by 1, 2)"""
 
 
-def _fingerprints(spark, d):
-    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("sample"), F.floor(F.col("l_partkey") / 25).alias("window_id"), F.col("l_partkey").alias("pos"), "l_returnflag")
-    alts = li.where("l_returnflag = 'R' and sample <= 40").groupBy("sample", "window_id").agg(F.array_sort(F.collect_set("pos")).alias("a"))
-    spine = li.where("sample <= 40").select("sample").distinct().join(F.broadcast(li.select("window_id").distinct()))
-    return spine.join(alts, ["sample", "window_id"], "left").select("sample", "window_id", F.coalesce(F.array_join("a", ","), F.lit("")).alias("alts"))
+def _haplotypes(spark, d):
+    """(window_id, alts, first_ord, multiplicity) of each distinct haplotype, samples numbered from 0 in order.
+
+    Samples without an alternative allele are never written out: a window's
+    all-reference haplotype has the samples left over, and the first of them is the
+    count of carriers whose number equals their rank.
+    """
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("sample"), F.expr("l_partkey div 25").alias("window_id"), F.col("l_partkey").alias("pos"), "l_returnflag")
+    ords = li.select("sample").distinct().withColumn("ord", (F.row_number().over(W.orderBy("sample")) - 1).cast("long"))  # one row a sample
+    total = ords.agg(one().alias("samples"))  # one row
+    alts = li.where("l_returnflag = 'R'").groupBy("sample", "window_id").agg(F.array_join(F.array_sort(F.collect_set("pos")), ",").alias("alts"))
+    carriers = alts.join(ords, "sample").withColumn("rank", F.row_number().over(W.partitionBy("window_id").orderBy("ord")) - 1)
+    carried = carriers.groupBy("window_id", "alts").agg(
+        F.min("ord").alias("first_ord"), one().alias("multiplicity"), F.count_if(F.col("ord") == F.col("rank")).alias("in_place")
+    )
+    used = carried.groupBy("window_id").agg(F.sum("multiplicity").alias("n"), F.sum("in_place").alias("first_ord"))
+    rest = li.select("window_id").distinct().join(used, "window_id", "left").na.fill(0).join(F.broadcast(total)).where("n < samples")
+    rest = rest.select("window_id", F.lit("").alias("alts"), "first_ord", (F.col("samples") - F.col("n")).alias("multiplicity"))
+    return carried.drop("in_place").unionByName(rest)
 
 
-@query("a9_fingerprints", f"with {HAPS}, u as (select window_id, alts, min(sample) as first_sample from fp group by 1, 2) select window_id, alts, row_number() over (partition by window_id order by first_sample, alts) - 1 as fp_no, first_sample from u")
+@query("a9_fingerprints", f"with {HAPS}, o as (select s, row_number() over (order by s) - 1 as ord from (select distinct s from spine)), u as (select window_id, alts, min(ord) as first_ord from fp join o on s = sample group by 1, 2) select window_id, alts, row_number() over (partition by window_id order by first_ord) - 1 as fp_no, first_ord from u")
 def a9(spark, d):
-    u = _fingerprints(spark, d).groupBy("window_id", "alts").agg(F.min("sample").alias("first_sample"))
-    return u.withColumn("fp_no", F.row_number().over(W.partitionBy("window_id").orderBy("first_sample", "alts")) - 1)
+    fp_no = F.row_number().over(W.partitionBy("window_id").orderBy("first_ord")) - 1
+    return _haplotypes(spark, d).select("window_id", "alts", fp_no.alias("fp_no"), "first_ord")
 
 
 @query("a8_haplotype_counts", f"with {HAPS} select window_id, alts, count(*) as multiplicity from fp group by 1, 2")
 def a8(spark, d):
-    return _fingerprints(spark, d).groupBy("window_id", "alts").agg(one().alias("multiplicity"))
+    return _haplotypes(spark, d).select("window_id", "alts", "multiplicity")
 
 
 @query("a10_unique_windows", f"with {HAPS} select window_id, count(distinct alts) as n_unique from fp group by 1")
 def a10(spark, d):
-    return _fingerprints(spark, d).groupBy("window_id").agg(F.count_distinct("alts").alias("n_unique"))
+    return _haplotypes(spark, d).groupBy("window_id").agg(one().alias("n_unique"))
 
 
 @query("t2_split", "with r as (select c_custkey as id, c_mktsegment as trait, row_number() over (partition by c_mktsegment order by md5(concat(cast(c_custkey as varchar), '-42')), c_custkey) as rn, count(*) over (partition by c_mktsegment) as n from customer) select id, trait, case when rn <= round_even(n * 0.15, 0) then 'val' when rn <= round_even(n * 0.3, 0) then 'test' else 'train' end as part from r")
