@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FIXED = 9
+from haplospark.functions.seq import IUPAC
+
+#: Leading columns of a VCF and of a hapmap table that are not samples.
+FIXED, HAPMAP_FIXED = 9, 11
 
 
 def _header(spark: SparkSession, path: str, prefix: str) -> list[str]:
@@ -83,6 +86,39 @@ def read_allc(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("pos is not null and chrom rlike '^[1-5]$'")
 
 
+def read_hapmap(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, pos from 0, variant_id, ref, alt, sample_id, sample_ord, gt) of a hapmap table, one row a call.
+
+    The first of the two alleles is the reference; a base that is neither allele, nor
+    the het code of both, is a missing call.
+    """
+    names = _header(spark, path, "rs#")[HAPMAP_FIXED:]
+    f = F.split("value", "\t")
+    rows = spark.read.text(path).where(~F.col("value").startswith("rs#") & (F.col("value") != "")).select(
+        F.regexp_replace(f[2], "(?i)^chr", "").alias("chrom"), (f[3].cast("long") - 1).alias("pos"), f[0].alias("variant_id"),
+        F.split_part(f[1], F.lit("/"), F.lit(1)).alias("ref"), F.split_part(f[1], F.lit("/"), F.lit(2)).alias("alt"), f.alias("f"),
+    )
+    picks = F.array(*[F.struct(F.lit(n).alias("sample_id"), F.lit(i).alias("sample_ord"), F.upper(F.trim(F.col("f")[HAPMAP_FIXED + i])).alias("base")) for i, n in enumerate(names)])
+    calls = rows.select("chrom", "pos", "variant_id", "ref", "alt", F.explode(picks).alias("c")).select("chrom", "pos", "variant_id", "ref", "alt", "c.*")
+    codes = F.create_map(*[F.lit(x) for pair in IUPAC.items() for x in pair])
+    both = F.try_element_at(codes, F.col("base"))
+    het = (both == F.concat_ws("/", "ref", "alt")) | (both == F.concat_ws("/", "alt", "ref"))
+    gt = F.when(F.col("base") == F.col("ref"), "0/0").when(F.col("base") == F.col("alt"), "1/1").when(het, "0/1")
+    return calls.withColumn("gt", gt).drop("base")
+
+
+def read_soft(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, accession, key, value) of a SOFT file, one row an attribute; the reader cuts the records at a caret that starts a line."""
+    records = spark.read.option("lineSep", "\n^").text(path)
+    head = F.regexp_replace("value", r"^\^", "")
+    rows = records.select(
+        F.regexp_extract(head, r"^(\w+) = ", 1).alias("kind"), F.regexp_extract(head, r"^\w+ = (\S+)", 1).alias("accession"),
+        F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^!(\S+ = .*)$"), F.lit(1))).alias("line"),
+    )
+    pair = F.split("line", " = ", 2)
+    return rows.where("kind <> ''").select("kind", "accession", pair[0].alias("key"), F.trim(pair[1]).alias("value"))
+
+
 def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSONL ledger; a half-written line is dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

@@ -82,6 +82,19 @@ def test_other_scans(spark, tmp_path):
     assert list(map(tuple, formats.read_ledger(spark, str(tmp_path / "l.jsonl"), "step int, loss double").collect())) == [(1, 0.5)]
 
 
+def test_hapmap_and_soft_scans(spark, tmp_path):
+    head = ["rs#", "alleles", "chrom", "pos", "strand", "assembly#", "center", "protLSID", "assayLSID", "panel", "QCcode", "s1", "s2", "s3", "s4", "s5"]
+    (tmp_path / "a.hmp.txt").write_text("\t".join(head) + "\n" + "\t".join(["m1", "A/G", "chr2", "11", "+"] + ["NA"] * 6 + ["A", "G", "R", "N", "Y"]) + "\n")
+    got = formats.read_hapmap(spark, str(tmp_path / "a.hmp.txt"))
+    assert {(r.chrom, r.pos, r.variant_id, r.sample_id): r.gt for r in got.collect()} == {
+        ("2", 10, "m1", "s1"): "0/0", ("2", 10, "m1", "s2"): "1/1", ("2", 10, "m1", "s3"): "0/1", ("2", 10, "m1", "s4"): None, ("2", 10, "m1", "s5"): None
+    }
+    (tmp_path / "a.soft").write_text("^DATABASE = Geo\n!Database_name = x\n^SAMPLE = GSM1\n!Sample_title = a = b^c\n#ID = no\n^SAMPLE = GSM2\n!Sample_ch1 = ecotype: Col\n")
+    assert sorted(map(tuple, formats.read_soft(spark, str(tmp_path / "a.soft")).collect())) == [
+        ("DATABASE", "Geo", "Database_name", "x"), ("SAMPLE", "GSM1", "Sample_title", "a = b^c"), ("SAMPLE", "GSM2", "Sample_ch1", "ecotype: Col")
+    ]
+
+
 def test_genotype_modes_stay_apart(spark):
     df = spark.createDataFrame([(g,) for g in ("0/1", "1/0", "1/1", "1|1", "./.", "2/0", None, "0/0:9")], "gt string")
     got = df.select("gt", *[seq.genotype(F.col("gt"), m).alias(m) for m in ("first", "hom", "exact", "any")], seq.dosage(F.col("gt")).alias("d")).collect()
