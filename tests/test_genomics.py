@@ -5,11 +5,13 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from haplospark.functions import seq
+from haplospark.operators import linear
 from haplospark.operators.interval import point_in_interval
 from haplospark.operators.sampling import split_ids
 from haplospark.operators.windows import greedy_windows
@@ -149,3 +151,32 @@ def test_streams_equal_batches(spark, tmp_path):
     q = event_windows(stream, "1 hour", "1 hour").writeStream.format("memory").queryName("ev").outputMode("complete").trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert plain(spark.table("ev").collect()) == plain(event_windows(events, "1 hour", "1 hour").collect())
+
+
+def test_linear_models_match_direct_algebra(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 3)) + 2
+    y = x @ [1.0, -2.0, 0.5] + rng.normal(size=60)
+    rows = spark.createDataFrame([(i, [1.0, *map(float, x[i]), float(y[i])]) for i in range(60)] + [(60, None), (61, [1.0])], "i int, v array<double>")
+    folds = linear.gram(rows.withColumn("fold", F.col("i") % 3), "v", "fold")
+    want = []
+    for f in range(3):
+        held = np.arange(60) % 3 == f
+        xt, yt = x[~held] - x[~held].mean(0), y[~held] - y[~held].mean()
+        w = np.linalg.solve(xt.T @ xt + 7 * np.eye(3), xt.T @ yt)
+        want.append(np.corrcoef(x[held] @ w, y[held])[0, 1])
+    assert linear.ridge_grid(folds, [7.0])[0][1] == pytest.approx(np.mean(want))
+    assert linear.ridge_grid({0: folds[0]}, [7.0]) == [(7.0, None)]
+    g = linear.gram(rows.where("i < 60").select(F.slice("v", 1, 4).alias("v")), "v")[0]
+    assert linear.principal_axes(g, 3)[2] == pytest.approx(np.linalg.svd(x - x.mean(0))[1])
+    assert linear.principal_axes(g, 2, centre=False)[2] == pytest.approx(np.linalg.svd(x)[1][:2])
+    assert linear.gram(rows.limit(0), "v") == {}
+
+
+def test_axes_removed_matches_projection(spark):
+    e = np.array([r.embedding for r in spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()], float)
+    c = e - e.mean(0)
+    axes = np.linalg.svd(c, full_matrices=False)[2][:3]
+    want = np.linalg.norm(c - c @ axes.T @ axes, axis=1)
+    got = [r.after for r in registry.queries()["m12_axes_removed"](spark, SF).orderBy("vec_id").collect()]
+    assert got == pytest.approx(want, abs=1e-5)
