@@ -87,3 +87,30 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
+
+
+def window(bases: Column, start: Column, width: int) -> Column:
+    """width bases from start (from 0, perhaps below), N where the sequence does not reach."""
+    first = F.greatest(start, F.lit(0))
+    inside = F.substring(bases, first + 1, F.greatest(F.lit(0), start + width - first))
+    left = F.array_join(F.array_repeat(F.lit("N"), F.greatest(F.lit(0), F.least(-start, F.lit(width)))), "")
+    return F.rpad(F.concat(left, inside), width, "N")
+
+
+def one_hot(bases: Column) -> Column:
+    """An array of four flags, in the order A, C, G, T, for each base; none is set for another letter."""
+    return F.transform(F.split(bases, ""), lambda c: F.transform(F.array(*map(F.lit, "ACGT")), lambda b: (b == c).cast("int")))
+
+
+def same_known(a: Column, b: Column) -> Column:
+    """Whether two sequences of one length agree wherever both bases are known."""
+    agree = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce((x == y) | (x == "N") | (y == "N"), F.lit(False)))
+    return F.forall(agree, lambda ok: ok)
+
+
+def layer_norm(v: Column, floor: float = 1e-5) -> Column:
+    """v less its mean, over the root of its variance plus floor; no parameters."""
+    n = F.size(v)
+    mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
+    var = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
+    return F.transform(v, lambda x: (x - mean) / F.sqrt(var + floor))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as driver
 from haplospark.functions import seq
 from haplospark.operators import linear
+from haplospark.operators.choose import matching, resolve
 from haplospark.operators.interval import point_in_interval
 from haplospark.operators.sampling import split_ids
 from haplospark.operators.windows import greedy_windows
@@ -180,3 +181,11 @@ def test_axes_removed_matches_projection(spark):
     want = np.linalg.norm(c - c @ axes.T @ axes, axis=1)
     got = [r.after for r in registry.queries()["m12_axes_removed"](spark, SF).orderBy("vec_id").collect()]
     assert got == pytest.approx(want, abs=1e-5)
+
+
+def test_choices_are_checked_when_planned(spark):
+    df = spark.createDataFrame([(1, "a", 0.5), (2, "b", None), (3, "c", 1.0)], "iid int, kind string, height double")
+    assert [r.iid for r in matching(df, kind=["a", "c"], iid=3, height=None).collect()] == [3]
+    assert resolve(df, None, ("iid", "kind")) == ["height"]
+    with pytest.raises(ValueError, match="width"):
+        resolve(df, ["width"])
