@@ -133,3 +133,25 @@ def write_vcf(calls: DataFrame, path: str, samples: list[str]) -> None:
     rows = wide.select(F.lit(1).alias("body"), "chrom", "pos", line.alias("value"))
     first = calls.sparkSession.createDataFrame([(0, None, None, head)], rows.schema)
     rows.unionByName(first).repartitionByRange("body", "chrom", "pos").sortWithinPartitions("body", "chrom", "pos").select("value").write.text(path)
+
+
+def read_dart(spark: SparkSession, path: str, meta: int) -> DataFrame:
+    """(allele_id, clone_id, seq, snp, snp_pos, sample_id, call) of an unpacked DArTSeq report, one row a call.
+
+    The report's first line names the sample of each column after the meta leading ones;
+    a column counts if its name is all digits and stands for the first time. Lines above
+    the line of column names have no base sequence and go with all others that lack one.
+    """
+    first = spark.read.text(path).first()
+    names = [n.strip() for n in first["value"].rstrip("\r").split(",")] if first else []
+    columns: dict[str, int] = {}
+    for i, name in enumerate(names[meta:], meta):
+        if name.isascii() and name.isdigit():
+            columns.setdefault(name, i)
+    f = F.split(F.regexp_replace("value", "\r$", ""), ",", -1)
+    rows = spark.read.text(path).select(f.alias("f")).where("get(f, 2) rlike '^[ACGTNacgtn]+$'")
+    calls = [F.struct(F.lit(n).alias("sample_id"), F.get("f", F.lit(i)).alias("call")) for n, i in columns.items()]
+    fields = ("allele_id", "clone_id", "seq", "snp", "snp_pos")
+    flat = rows.select(*[F.get("f", F.lit(i)).alias(k) for i, k in enumerate(fields)], F.explode(F.array(*calls) if calls else F.expr("cast(array() as array<struct<sample_id string, call string>>)")).alias("c"))
+    known = F.when(F.trim("c.call").rlike("^[0-9]+$"), F.trim("c.call"))
+    return flat.select(*fields[:4], F.expr("try_cast(snp_pos as int)").alias("snp_pos"), "c.sample_id", known.alias("call"))

@@ -1,6 +1,7 @@
 """Genomics operators: formats, windows, interval joins, expressions, streaming and the oracles."""
 
 import glob
+import gzip
 import os
 import random
 
@@ -17,7 +18,7 @@ from haplospark.operators.interval import point_in_interval
 from haplospark.operators.sampling import split_ids
 from haplospark.operators.windows import greedy_windows
 from haplospark.plans import registry
-from haplospark.sources import formats
+from haplospark.sources import catalog, formats
 from haplospark.streaming.accumulate import event_windows, site_accumulators
 
 SF = "/root/testdata/sf0.001"
@@ -189,3 +190,24 @@ def test_choices_are_checked_when_planned(spark):
     assert resolve(df, None, ("iid", "kind")) == ["height"]
     with pytest.raises(ValueError, match="width"):
         resolve(df, ["width"])
+
+
+def test_dart_scan(spark, tmp_path):
+    path = str(tmp_path / "a.csv")
+    open(path, "w").write("*,*,*,*,*,11,x,12,11\n*,*,*,*,*,a,b,c,d\nAlleleID,CloneID,Seq,SNP,SnpPosition,p,q,r,s\nA1,C1,ACGT,2:G>T,2,0,1,-,2\nA2,C2,,3:A>C,3,1,1,1,1\n")
+    got = [tuple(r) for r in formats.read_dart(spark, path, 5).orderBy("sample_id").collect()]
+    assert got == [("A1", "C1", "ACGT", "2:G>T", 2, "11", "0"), ("A1", "C1", "ACGT", "2:G>T", 2, "12", None)]
+    open(path, "w").close()
+    assert formats.read_dart(spark, path, 5).count() == 0
+
+
+def test_catalog_resolves_either_compression(spark, tmp_path):
+    stem = str(tmp_path / "rice")
+    with pytest.raises(FileNotFoundError, match="rice.vcf"):
+        catalog.register(spark, {"rice": stem}, "rice")
+    with gzip.open(f"{stem}.vcf.gz", "wt") as f:
+        f.write(VCF)
+    assert catalog.register(spark, {"rice": stem}, "dev", {"dev": "rice"}) == ["dev_variants", "dev_calls"]
+    assert spark.sql("select count(*) as n from dev_calls").first().n == 6
+    with pytest.raises(KeyError, match="soy"):
+        catalog.register(spark, {"rice": stem}, "soy")
