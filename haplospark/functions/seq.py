@@ -112,5 +112,7 @@ def layer_norm(v: Column, floor: float = 1e-5) -> Column:
     """v less its mean, over the root of its variance plus floor; no parameters."""
     n = F.size(v)
     mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
-    var = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-    return F.transform(v, lambda x: (x - mean) / F.sqrt(var + floor))
+    root = lambda m: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / n + floor)
+    # One-element arrays bind the mean and the root, so that neither is worked out anew for each component.
+    scaled = lambda m, r: F.transform(v, lambda x: (x - m) / r)
+    return F.transform(F.array(mean), lambda m: F.transform(F.array(root(m)), lambda r: scaled(m, r))[0])[0]
