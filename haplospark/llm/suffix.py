@@ -1,4 +1,4 @@
-"""Exact removal of repeated passages, by blockwise suffix sorting with a difference cover.
+"""Exact removal of repeated passages, by bucketed names of suffixes with a difference cover.
 
 Every byte covered by a string of ``length`` bytes that also starts earlier (smaller
 id, or the same document and an earlier start) is removed. Only the order's ties
@@ -12,11 +12,15 @@ matter here, so suffixes are sorted by names of their prefixes.
 3. The suffixes that can tie are bucketed by the name of their first ``length`` bytes, and
    one group of buckets at a time is dealt out, sorted and searched for all but the
    first of each tie. That bounds disk and memory whatever the number of suffixes.
-4. The ties are drawn in the blocks as removed runs.
+4. Equal names are no proof. Each tie is a later suffix and the first of its name; the later
+   one's text is sent to the first one's block, as runs, and the bytes are compared there.
+   Suffixes of a name that stands for more than one string are resolved by their bytes.
+5. The ties are drawn in the blocks as removed runs.
 
 A name that a block holds often leaves it once, so a passage that stands in a third
 of all documents is one entry a block. Sampled names are 32 bits within a bucket of
 bounded size (a chance hit only lets a few more suffixes in); suffix names are 64 bits.
+Whole copies of a document are known by 128 bits of its SHA-256.
 
 Defined cases: null text counts as empty; texts shorter than ``length`` lose nothing;
 null ids come after all others; rows with equal ids are ordered by a hash of their
@@ -73,6 +77,25 @@ def names_at(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def _equal(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray, length: int) -> np.ndarray:
+    """Which of the strings of length bytes at these positions of a are those at the positions of b."""
+    out = np.ones(len(at), bool)
+    if len(at):
+        left, right = (np.ndarray((len(x) - 7,), "<u8", x, 0, (1,)) for x in (a, b))
+        for offset in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
+            out &= left[at + offset] == right[to + offset]
+    return out
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32 as four planes of bytes, which compress well where they are small."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplane(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def _row(block: int, kind: int, no: int, *parts: bytes) -> tuple:
     return (block, kind, no, *parts, *[b""] * (4 - len(parts)))
 
@@ -162,6 +185,18 @@ def _pack_blocks(rows: DataFrame, keep: list[str], block_bytes: int) -> DataFram
     return map_rows(rows, ROW, run)
 
 
+def _pack_lists(rows: DataFrame, column: str, kind: int) -> DataFrame:
+    """Rows of this kind: a lists the block's numbers in the column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [_row(b, kind, 0, np.array(i, "<i4").tobytes()) for b, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            if out:
+                yield _batch(out)
+
+    return map_rows(rows.groupBy("block").agg(F.collect_list(column).alias(column)).select("block", column), ROW, run)
+
+
 def _copies(blocks: DataFrame, length: int) -> DataFrame:
     """Rows of kind 1: a lists the block's documents that are whole copies of an earlier one."""
 
@@ -173,19 +208,10 @@ def _copies(blocks: DataFrame, length: int) -> DataFrame:
                 columns = [h["sha"][i].view(np.int64), h["sha2"][i].view(np.int64), h["id"][i], np.full(len(i), block), i.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["s", "t", "id", "block", "i"])
 
-    def pack(rows: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = [_row(b, 1, 0, np.array(i, "<i4").tobytes()) for b, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-                if out:
-                    yield _batch(out)
-
-        return map_rows(rows, ROW, run)
-
     docs = map_rows(blocks.select("block", "a"), "s long, t long, id long, block long, i int", heads)
     first = docs.groupBy("s", "t").agg(F.min(F.struct("id", "block", "i")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = docs.join(first, ["s", "t"]).where("struct(id, block, i) <> first")
-    return pack(later.groupBy("block").agg(F.collect_list("i").alias("i")).select("block", "i"))
+    return _pack_lists(later, "i", 1)
 
 
 def _by_run(rows: Iterator[tuple], key: int) -> Iterator[list[tuple]]:
@@ -251,9 +277,9 @@ class Candidates:
     def __init__(self, doc: np.ndarray, start: np.ndarray, n: np.ndarray, ids: np.ndarray, shas: np.ndarray, data: np.ndarray, length: int):
         self.doc, self.start, self.n, self.ids, self.shas, self.data = doc, start, n, ids, shas, data
         sizes = n + length - 1
-        base = np.cumsum(sizes) - sizes
+        self.base = np.cumsum(sizes) - sizes
         self.first = np.cumsum(n) - n
-        at = np.arange(n.sum()) + np.repeat(base - self.first, n)
+        at = np.arange(n.sum()) + np.repeat(self.base - self.first, n)
         self.names = names_at(data, at, length)
 
     def places(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,6 +287,18 @@ class Candidates:
         run = np.searchsorted(self.first, k, side="right") - 1
         return self.doc[run], self.start[run] + k - self.first[run]
 
+    def bytes_at(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Run of the suffixes with these numbers, and where they start in data."""
+        run = np.searchsorted(self.first, k, side="right") - 1
+        return run, self.base[run] + k - self.first[run]
+
+    def ambiguous(self, length: int) -> np.ndarray:
+        """Names that stand for more than one string in the block."""
+        _, first, inverse = np.unique(self.names, return_index=True, return_inverse=True)
+        later = np.flatnonzero(first[inverse] != np.arange(len(inverse)))
+        same = _equal(self.data, self.bytes_at(later)[1], self.data, self.bytes_at(first[inverse[later]])[1], length)
+        return self.names[later[~same]]
+
     def pack(self) -> tuple[bytes, bytes, bytes]:
         runs = np.stack([self.doc, self.start, self.n]).astype("<i8").tobytes()
         heads = np.concatenate([self.ids, self.shas.view(np.int64)]).astype("<i8").tobytes()
@@ -339,7 +377,10 @@ def _candidates(blocks: DataFrame, copies: DataFrame, samples: DataFrame, length
 
 
 def _ties(candidates: DataFrame, length: int, n_buckets: int, of_pass: int, passes: int, deal: int) -> DataFrame:
-    """Rows of kind 4, no the bucket: a has a bit for each of the block's first suffixes in the bucket that comes later elsewhere."""
+    """Rows of kind 4, no the bucket: a has a bit for each of the block's first suffixes in the bucket that comes later elsewhere.
+
+    For those with a bit, c has the number in b of the block that holds the first suffix of the name, and d that suffix's number there.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -355,7 +396,7 @@ def _ties(candidates: DataFrame, length: int, n_buckets: int, of_pass: int, pass
                     runs = np.diff(np.concatenate([heads, [e - s]]))
                     d = docs[heads]
                     keys = np.stack([found.ids[d], found.shas[d].view(np.int64), runs]).astype("<i8")
-                    out.append(_row(row[0], 4, k, found.names[first[s:e]].astype("<u8").tobytes(), keys.tobytes()))
+                    out.append(_row(row[0], 4, k, found.names[first[s:e]].astype("<u8").tobytes(), keys.tobytes(), _planes(np.diff(first[s:e], prepend=0))))
             if out:
                 yield _batch(out)
 
@@ -370,15 +411,23 @@ def _ties(candidates: DataFrame, length: int, n_buckets: int, of_pass: int, pass
             by = np.argsort(rank, kind="stable")
             by = by[np.argsort(names[by], kind="stable")]
             sorted_names = names[by]
+            head = np.concatenate([[True], sorted_names[1:] != sorted_names[:-1]])
             later = np.zeros(len(names), bool)
-            later[by[1:]] = sorted_names[1:] == sorted_names[:-1]
+            later[by] = ~head
+            source = np.empty(len(names), np.int64)
+            source[by] = by[np.flatnonzero(head)[np.cumsum(head) - 1]]
+            number = np.concatenate([np.cumsum(_unplane(r[5])) for r in run])
+            of_row = np.repeat(np.arange(len(run)), [len(r[3]) // 8 for r in run])
+            holders = np.array([r[0] for r in run], "<i8")
             at, out = 0, []
             for r in run:
                 n = len(r[3]) // 8
                 bits = later[at : at + n]
+                from_ = source[at : at + n][bits]
                 at += n
-                if bits.any():
-                    out.append(_row(r[0], 4, r[2], np.packbits(bits).tobytes()))
+                if len(from_):
+                    rows, which = np.unique(of_row[from_], return_inverse=True)
+                    out.append(_row(r[0], 4, r[2], np.packbits(bits).tobytes(), holders[rows].tobytes(), _planes(which), _planes(number[from_])))
             if out:
                 yield _batch(out)
 
@@ -386,7 +435,85 @@ def _ties(candidates: DataFrame, length: int, n_buckets: int, of_pass: int, pass
     return map_rows(dealt, ROW, answer)
 
 
-def _cut(blocks: DataFrame, copies: DataFrame, candidates: DataFrame, ties: DataFrame, length: int, n_buckets: int,
+def _ambiguous(candidates: DataFrame, ties: DataFrame, length: int, n_buckets: int, deal: int) -> np.ndarray:
+    """Names that stand for more than one string, found by comparing the bytes of each tie with the first suffix of its name."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of kind 5 for the block of the first suffixes: a their numbers and the sizes of runs, b the later suffixes' text."""
+        for group in _by_run(_rows(batches), 0):
+            asked = _gather(group, 4)
+            if not asked:
+                continue
+            (own,) = _gather(group, 3)
+            found = Candidates.unpack(own[3], own[4], own[5], length)
+            first, bucket, _ = found.firsts(n_buckets)
+            cuts = _splits(bucket, n_buckets)
+            parts = []
+            for t in asked:
+                s, e = cuts[t[2]], cuts[t[2] + 1]
+                bits = np.unpackbits(np.frombuffer(t[3], np.uint8), count=int(e - s)).astype(bool)
+                parts.append(np.stack([np.frombuffer(t[4], "<i8")[_unplane(t[5])], first[s:e][bits], _unplane(t[6])]))
+            holder, k, to = np.concatenate(parts, axis=1)
+            order = np.lexsort((k, holder))
+            holder, k, to = holder[order], k[order], to[order]
+            of_run, at = found.bytes_at(k)
+            new = (np.diff(holder) != 0) | (np.diff(k) != 1) | (np.diff(to) != 1) | (np.diff(of_run) != 0)
+            heads = np.flatnonzero(np.concatenate([[True], new]))
+            n = np.diff(np.concatenate([heads, [len(k)]]))
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(holder[heads]) != 0, [True]]))
+            for s, e in zip(edges, edges[1:]):
+                h, sizes = heads[s:e], n[s:e] + length - 1
+                take = np.arange(sizes.sum()) + np.repeat(at[h] - (np.cumsum(sizes) - sizes), sizes)
+                text = zstandard.ZstdCompressor(level=3).compress(found.data[take].tobytes())
+                yield _batch([_row(int(holder[h[0]]), 5, 0, np.stack([to[h], n[s:e]]).astype("<i8").tobytes(), text)])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = None, -1
+        for row in _rows(batches):
+            if row[1] == 3:
+                found, held = Candidates.unpack(row[3], row[4], row[5], length), row[0]
+                bad = found.ambiguous(length)
+            else:
+                if row[0] != held:
+                    raise RuntimeError("a tie with a block that has no suffix")
+                to, n = np.frombuffer(row[3], "<i8").reshape(2, -1)
+                text = np.frombuffer(zstandard.ZstdDecompressor().decompress(row[4]), np.uint8)
+                sizes = n + length - 1
+                i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                k = np.repeat(to, n) + i
+                same = _equal(found.data, found.bytes_at(k)[1], text, np.repeat(np.cumsum(sizes) - sizes, n) + i, length)
+                bad = found.names[k[~same]]
+            if len(bad):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(bad).view(np.int64))], ["name"])
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(deal, "block").sortWithinPartitions("block", "kind", "no")
+
+    asks = map_rows(dealt(candidates.union(ties)), ROW, ask)
+    names = map_rows(dealt(candidates.union(asks)), "name long", compare).distinct().collect()
+    return np.sort(np.array([r[0] for r in names], np.int64).view(np.uint64))
+
+
+def _by_bytes(candidates: DataFrame, bad: np.ndarray, length: int) -> DataFrame:
+    """Rows of kind 6: a lists the block's suffixes with these names whose very bytes start earlier."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            found = Candidates.unpack(row[3], row[4], row[5], length)
+            k = np.flatnonzero(np.isin(found.names, bad))
+            if len(k):
+                at, doc = found.bytes_at(k)[1], found.places(k)[0]
+                sha = (found.shas[doc] ^ np.uint64(1 << 63)).view(np.int64)  # in unsigned order
+                columns = [found.ids[doc], sha, np.full(len(k), row[0]), k.astype(np.int32)]
+                text = pa.array([found.data[x : x + length].tobytes() for x in at], pa.binary())
+                yield pa.RecordBatch.from_arrays([text, *[pa.array(np.ascontiguousarray(c)) for c in columns]], ["s", "id", "sha", "block", "k"])
+
+    every = map_rows(candidates, "s binary, id long, sha long, block long, k int", send)
+    first = every.groupBy("s").agg(F.min(F.struct("id", "sha", "block", "k")).alias("first"))
+    return _pack_lists(every.join(first, "s").where("struct(id, sha, block, k) <> first"), "k", 6)
+
+
+def _cut(blocks: DataFrame, copies: DataFrame, candidates: DataFrame, ties: DataFrame, bad: np.ndarray, length: int, n_buckets: int,
          deal: int, keep: list[str], schema: str, with_text: bool) -> DataFrame:
     """The documents without what was drawn as removed."""
 
@@ -401,6 +528,10 @@ def _cut(blocks: DataFrame, copies: DataFrame, candidates: DataFrame, ties: Data
                 for t in _gather(group, 4):
                     s, e = cuts[t[2]], cuts[t[2] + 1]
                     later[first[s:e]] |= np.unpackbits(np.frombuffer(t[3], np.uint8), count=int(e - s)).astype(bool)
+                if len(bad):
+                    later[np.isin(found.names, bad)] = False
+                    for t in _gather(group, 6):
+                        later[np.frombuffer(t[3], "<i4")] = True
                 doc, offset = found.places(np.flatnonzero(later))
                 at = block.starts[doc] + offset
                 np.add.at(edge, at, 1)
@@ -478,9 +609,13 @@ def remove_repeats(
         part = materialise(_ties(found, length, suffix_buckets, p, passes, deal))
         ties = part if ties is None else ties.union(part)
         _release(spark)
+    bad = _ambiguous(found, ties, length, suffix_buckets, deal)
+    _release(spark)
+    if len(bad):
+        ties = ties.union(materialise(_by_bytes(found, bad, length)))
     kinds = dict(df.dtypes)
     schema = "__id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", __text string" * with_text
     schema += "".join(f", `{k}` {kinds[k]}" for k in keep)
-    out = _cut(blocks, copies, found, ties, length, suffix_buckets, deal, keep, schema, with_text)
+    out = _cut(blocks, copies, found, ties, bad, length, suffix_buckets, deal, keep, schema, with_text)
     out = out.withColumnRenamed("__id", id_col)
     return out.withColumnRenamed("__text", text_col) if with_text else out

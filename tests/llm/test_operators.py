@@ -442,3 +442,33 @@ def test_empty_tables(empty):
     assert mixing.mix(empty).count() == 0
     assert spotsigs.compare_with_next(empty).count() == 0
     assert license_scan.scan(empty).count() == 0
+
+
+def colliding_passages():
+    """Two different passages of 100 bytes with one 64-bit name: the second word undoes what the first changed."""
+    def step(x):
+        x = x * int(suffix._MIX) % 2**64
+        return x ^ x >> 29
+
+    tail = "".join(random.Random(5).choices("abcdefghij ", k=84))
+    for i in range(1, 100_000):
+        heads = [f"{n:08d}".encode() for n in (0, i)]
+        states = [step(100 ^ int.from_bytes(h, "little")) for h in heads]
+        second = (int.from_bytes(b"passages", "little") ^ states[0] ^ states[1]).to_bytes(8, "little")
+        if max(second) < 128:
+            return heads[0].decode() + "passages" + tail, heads[1].decode() + second.decode() + tail
+    raise AssertionError("no collision")
+
+
+@pytest.mark.parametrize("passes", [1, 3])
+def test_repeats_are_told_apart_by_their_bytes(spark, passes):
+    a, b = colliding_passages()
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    assert a != b and len(set(suffix.names_at(data, np.array([0, 100]), 100).tolist())) == 1
+    texts = [a + "x" * 8, b + "y" * 9, b + "z" * 10, a + b, a + "w" * 11]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(i, len(t.encode()), gone) for (i, t), gone in zip(rows, [0, 0, 100, 200, 100])]
+    for block_bytes in (150, 1 << 20):
+        got = suffix.remove_repeats(df, 100, block_bytes=block_bytes, bucket_entries=50, passes=passes)
+        assert sorted(map(tuple, got.select("doc_id", "n_bytes", "n_removed").collect())) == want
