@@ -58,7 +58,7 @@ def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return warc.derivatives(warc.responses(pages)).withColumnRenamed("id", "page_id").drop("header")
+    return warc.derivatives(warc.responses(pages)).withColumnRenamed("id", "page_id")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

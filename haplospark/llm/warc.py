@@ -3,8 +3,9 @@
 A response record carries an HTTP head and a body. For each one two records are
 derived: ``metadata`` (an application/warc-fields block with the title, the number of
 links, the declared language and the digests) and ``conversion`` (the page's plain
-text). Both keep the source's headers, name it in WARC-Refers-To and carry block and
-payload digests of their own.
+text). Both keep the source's HTTP head (column http_head, and WARC-Source-HTTP-* fields of
+the record's header; the metadata block has them as http-* fields), name the source in
+WARC-Refers-To and carry block and payload digests of their own.
 
 Defined cases: a null or empty body is a response with an empty payload, whose
 derivatives are empty too; a null URL stays null and its header is left out; repeated
@@ -69,10 +70,17 @@ def responses(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     )
 
 
+def head_fields(head: Column, prefix: str) -> Column:
+    """The lines of an HTTP head as fields: the status line under <prefix>Status, each header under its own name after the prefix."""
+    lines = F.regexp_replace(head, r"(\r\n)+$", "")
+    lines = F.regexp_replace(lines, r"\r\n(?![ \t])", f"{CRLF}{prefix}")
+    return F.concat(F.lit(f"{prefix}Status: "), lines, F.lit(CRLF))
+
+
 def derivatives(records: DataFrame) -> DataFrame:
-    """Two records for each response: id, warc_type, record_id, refers_to, target_uri, content_type,
+    """Two records for each response: id, warc_type, record_id, refers_to, target_uri, http_head, content_type,
     source_digest, source_length, block, block_digest, content_length, header."""
-    text = records.select("id", "record_id", "target_uri", "payload_digest", F.octet_length("payload").alias("source_length"),
+    text = records.select("id", "record_id", "target_uri", "http_head", "payload_digest", F.octet_length("payload").alias("source_length"),
                           plain_text(F.col("payload")).alias("text"), title_of(F.col("payload")).alias("title"),
                           F.lower(F.regexp_extract("payload", r"(?i)<html[^>]*\slang=[\"']?([A-Za-z-]+)", 1)).alias("lang"),
                           F.regexp_count("payload", F.lit(r"(?i)<a\s[^>]*href\s*=")).alias("links"))
@@ -80,21 +88,23 @@ def derivatives(records: DataFrame) -> DataFrame:
     fields = F.concat(
         line("title", F.col("title")), line("language", F.col("lang")), line("outlinks", F.col("links").cast("string")),
         line("textLength", F.octet_length("text").cast("string")), line("sourceDigest", F.col("payload_digest")),
+        head_fields(F.col("http_head"), "http-"),
     )
     kinds = F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
         F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block")),
     )
-    out = text.select("id", "record_id", "target_uri", "payload_digest", "source_length", F.explode(kinds).alias("r"))
+    out = text.select("id", "record_id", "target_uri", "http_head", "payload_digest", "source_length", F.explode(kinds).alias("r"))
     out = out.select(
         "id", "r.warc_type", uuid_of(F.concat_ws("|", F.col("r.warc_type"), F.col("record_id"))).alias("record_id"),
-        F.col("record_id").alias("refers_to"), "target_uri", "r.content_type", F.col("payload_digest").alias("source_digest"), "source_length",
+        F.col("record_id").alias("refers_to"), "target_uri", "http_head", "r.content_type", F.col("payload_digest").alias("source_digest"), "source_length",
         "r.block", digest_of(F.col("r.block")).alias("block_digest"), F.octet_length("r.block").alias("content_length"),
     )
     head = F.concat(
         F.lit(f"WARC/1.1{CRLF}"), line("WARC-Type", F.col("warc_type")), line("WARC-Record-ID", F.col("record_id")),
         line("WARC-Refers-To", F.col("refers_to")),
         F.coalesce(line("WARC-Target-URI", F.col("target_uri")), F.lit("")),
+        head_fields(F.col("http_head"), "WARC-Source-HTTP-"),
         line("WARC-Source-Payload-Digest", F.col("source_digest")), line("WARC-Block-Digest", F.col("block_digest")),
         line("Content-Type", F.col("content_type")), line("Content-Length", F.col("content_length").cast("string")), F.lit(CRLF),
     )

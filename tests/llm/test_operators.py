@@ -472,3 +472,21 @@ def test_repeats_are_told_apart_by_their_bytes(spark, passes):
     for block_bytes in (150, 1 << 20):
         got = suffix.remove_repeats(df, 100, block_bytes=block_bytes, bucket_entries=50, passes=passes)
         assert sorted(map(tuple, got.select("doc_id", "n_bytes", "n_removed").collect())) == want
+
+
+def test_warc_records_keep_the_sources_headers(spark):
+    from haplospark.llm import queries
+
+    df = spark.createDataFrame([(1, "http://a/", "<p>é one</p>"), (2, None, None)], "page_id long, url string, html string")
+    got = warc.derivatives(warc.responses(df)).collect()
+    assert len(got) == 4
+    for r in got:
+        size = {1: 13, 2: 0}[r.id]
+        lines = ["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {size}"]
+        assert r.http_head == "\r\n".join(lines) + "\r\n\r\n"
+        for text, prefix in [(r.header, "WARC-Source-HTTP-")] + [(r.block, "http-")] * (r.warc_type == "metadata"):
+            have = text.split("\r\n")
+            assert {prefix + x for x in ["Status: " + lines[0], *lines[1:]]} <= set(have)
+        assert r.content_length == len(r.block.encode()) and r.header.endswith("\r\n\r\n") and r.header.count("\r\n\r\n") == 1
+        assert f"\r\nContent-Length: {r.content_length}\r\n" in r.header
+    assert {"http_head", "header"} <= set(queries.op9_warc(spark, SF).columns)
