@@ -5,8 +5,8 @@ a phrase is the longest match that starts where the last one ended. The number o
 phrases times the log of the sample's size, per symbol, estimates the cross entropy
 of the text under the language; the lowest wins.
 
-Texts are lower-cased; letters of the sample's alphabet are symbols of their own,
-other letters share one, and a run of anything else is one break. A text is parsed
+Texts are lower-cased; every letter of the sample, of whatever script, is a symbol of its
+own, letters that no language has share one, and a run of anything else is one break. A text is parsed
 in blocks of BLOCK symbols, all of them, so that many blocks advance in step; each
 block starts a new phrase under every language alike.
 
@@ -17,7 +17,6 @@ to the language that sorts first; other columns are ignored, repeated rows repea
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,9 @@ from haplospark.llm.common import chunks, input_columns, map_rows
 
 UNKNOWN = "und"
 BLOCK = 256
-BREAK, OTHER, PAD, WIDTH = 0, 1, 63, 64
+BREAK, OTHER, PAD = 0, 1, 2
+#: A language of more symbols than this keeps its transitions in a sorted list, not in a table.
+TABLE_WIDTH = 64
 CUT = 1 << 30
 #: More labels than this are not languages.
 MAX_LANGUAGES = 200
@@ -71,9 +72,14 @@ def fit_sample(
 
 
 class Automaton:
-    """Transitions of a suffix automaton as one table; a missing one restarts at the root and marks a cut."""
+    """Transitions of a suffix automaton; a missing one restarts at the root and marks a cut.
 
-    def __init__(self, symbols: np.ndarray):
+    Symbols are numbered anew by the sample's own (0: not in it, 1: PAD, which keeps the
+    state). Few symbols make a table of a power of two of columns; many, a sorted list of
+    the edges, whose size does not depend on the alphabet.
+    """
+
+    def __init__(self, symbols: np.ndarray, n_codes: int):
         after: list[dict[int, int]] = [{}]
         link, length = [-1], [0]
         last = 0
@@ -100,32 +106,55 @@ class Automaton:
                         p = link[p]
                     link[q] = link[new] = copy
             last = new
-        restart = np.full(WIDTH, CUT, np.int32)
+        own = np.unique(symbols)
+        self.local = np.zeros(n_codes, np.int32)
+        self.local[own] = np.arange(2, len(own) + 2)
+        self.local[PAD] = 1
+        self.width = 1 << (len(own) + 1).bit_length()
+        self.restart = np.full(self.width, CUT, np.int32)
         for c, s in after[0].items():
-            restart[c] = s | CUT
-        table = np.tile(restart, (len(after), 1))
-        for s, edges in enumerate(after):
-            for c, t in edges.items():
-                table[s, c] = t
-        table[:, PAD] = np.arange(len(after))
-        self.table = table.ravel()
+            self.restart[self.local[c]] = s | CUT
+        self.table = None
+        if self.width <= TABLE_WIDTH:
+            table = np.tile(self.restart, (len(after), 1))
+            for s, edges in enumerate(after):
+                for c, t in edges.items():
+                    table[s, self.local[c]] = t
+            table[:, 1] = np.arange(len(after))
+            self.table = table.ravel()
+        else:
+            keys = [(s * self.width + int(self.local[c]), t) for s, edges in enumerate(after) for c, t in edges.items()]
+            keys.sort()
+            self.keys = np.array([k for k, _ in keys], np.int64)
+            self.to = np.array([t for _, t in keys], np.int32)
         self.bits = math.log2(len(symbols) + 2)
 
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The states after these symbols (numbered by local), with CUT where a phrase ends."""
+        if self.table is not None:
+            at = state * self.width
+            at += symbol
+            return self.table.take(at)
+        key = state.astype(np.int64) * self.width + symbol
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        out = np.where(self.keys[at] == key, self.to[at], self.restart[symbol])
+        return np.where(symbol == 1, state, out)
+
 
 class Model:
     """The automata of all languages and the alphabet that they share."""
 
     def __init__(self, sample: dict[str, str]):
-        seen = Counter(c for text in sample.values() for c in text.lower() if c.isalpha() and ord(c) < 0x3000)
-        self.alphabet = {c: i + 2 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: PAD - 2])}
-        codes = np.zeros(0x110000, np.uint8)
+        seen = {c for text in sample.values() for c in text.lower() if c.isalpha()}
+        self.alphabet = {c: i + 3 for i, c in enumerate(sorted(seen))}
+        codes = np.zeros(0x110000, np.int32)
         for block in range(0, 0x110000, 0x100):
             codes[block : block + 0x100] = [OTHER if chr(i).isalpha() else BREAK for i in range(block, block + 0x100)]
         for c, i in self.alphabet.items():
             codes[ord(c)] = i
         self.codes = codes
         self.languages = sorted(sample)
-        self.automata = [Automaton(self.symbols(sample[lang])) for lang in self.languages]
+        self.automata = [Automaton(self.symbols(sample[lang]), len(self.alphabet) + 3) for lang in self.languages]
 
     def symbols(self, text: str) -> np.ndarray:
         found = self.codes[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -142,26 +171,25 @@ class Model:
         letters = np.array([bool((s != BREAK).any()) for s in streams], bool)
         lanes = -(-sizes // BLOCK)
         owner = np.repeat(np.arange(len(texts)), lanes)
-        grid = np.full((len(owner), BLOCK), PAD, np.uint8)
+        grid = np.full((len(owner), BLOCK), PAD, np.int32)
         first = np.cumsum(lanes) - lanes
         flat = grid.ravel()
         for at, s in zip(first.tolist(), streams):
             flat[at * BLOCK : at * BLOCK + len(s)] = s
         length = np.minimum(BLOCK, np.repeat(sizes, lanes) - (np.arange(len(owner)) - np.repeat(first, lanes)) * BLOCK)
         order = np.argsort(-length, kind="stable")
-        steps = np.ascontiguousarray(grid[order].T).astype(np.int32)
+        steps = np.ascontiguousarray(grid[order].T)
         alive = np.searchsorted(-length[order], -np.arange(BLOCK), side="left")
         out = np.zeros((len(self.automata), len(texts)))
         for k, automaton in enumerate(self.automata):
+            own = automaton.local.take(steps)
             state = np.zeros(len(owner), np.int32)
             cuts = np.ones(len(owner), np.int32)
             for t in range(BLOCK):
                 n = int(alive[t])
                 if not n:
                     break
-                at = state[:n] * WIDTH
-                at += steps[t, :n]
-                at = automaton.table.take(at)
+                at = automaton.step(state[:n], own[t, :n])
                 cuts[:n] += at >> 30
                 at &= CUT - 1
                 state[:n] = at

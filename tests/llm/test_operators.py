@@ -490,3 +490,36 @@ def test_warc_records_keep_the_sources_headers(spark):
         assert r.content_length == len(r.block.encode()) and r.header.endswith("\r\n\r\n") and r.header.count("\r\n\r\n") == 1
         assert f"\r\nContent-Length: {r.content_length}\r\n" in r.header
     assert {"http_head", "header"} <= set(queries.op9_warc(spark, SF).columns)
+
+
+def test_every_learned_letter_is_a_symbol(spark):
+    rng = random.Random(11)
+    scripts = {
+        "de": "abcdefghijklmnopqrstuvwxyzäöüß", "ru": [chr(i) for i in range(0x430, 0x450)], "el": [chr(i) for i in range(0x3B1, 0x3CA)],
+        "ar": [chr(i) for i in range(0x627, 0x63B)], "zh": [chr(i) for i in range(0x4E00, 0x4F00)],
+        "ja": [chr(i) for i in range(0x3041, 0x3097)] + [chr(i) for i in range(0x5000, 0x5060)], "ko": [chr(i) for i in range(0xAC00, 0xAD00)],
+        "goth": [chr(i) for i in range(0x10330, 0x10341)],
+    }
+    words = {k: ["".join(rng.choice(v) for _ in range(rng.randint(2, 6))) for _ in range(60)] for k, v in scripts.items()}
+    # these share all letters of one script, and only their words tell them apart
+    for k in ("ru", "zh"):
+        words[k + "2"] = ["".join(rng.choice(scripts[k]) for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    sample = {k: text(k, 400) for k in words}
+    model = langid.Model(sample)
+    letters = {c for t in sample.values() for c in t if c.isalpha()}
+    assert len({int(model.codes[ord(c)]) for c in letters} - {langid.BREAK, langid.OTHER, langid.PAD}) == len(letters) > 61
+    assert any(a.table is None for a in model.automata) and any(a.table is not None for a in model.automata)
+    for k, automaton in zip(model.languages, model.automata):
+        stream = "".join(map(chr, model.symbols(sample[k])))
+        for other in words:
+            t = text(other, 12)
+            have = model.symbols(t)
+            costs, _ = model.costs([t])
+            phrases = costs[model.languages.index(k), 0] * len(have) / automaton.bits
+            if len(have) <= langid.BLOCK and set(t) <= set(sample[k]):
+                assert round(phrases) == naive_phrases("".join(map(chr, have)), stream)
+    rows = [(i, text(k, 30), k) for i, k in enumerate(list(words) * 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(df, sample, keep=["lang"]).collect()
+    assert len(got) == len(rows) and all(r.lang_pred == r.lang for r in got)
