@@ -31,10 +31,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest id stays."""
-    groups = simhash.near_duplicates(docs, shingle=4, max_distance=4)
-    gone = groups.where("component_id < doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each near-duplicate group one row stays: the smallest id, nulls last, then the smallest hash of the row.
+
+    Rows are told apart by a number of their own, so null, repeated and shared ids do no
+    harm; only among rows equal in all columns does the number decide.
+    """
+    rows, own = _plain(docs)
+    tagged = materialise(rows.withColumn("row_", F.monotonically_increasing_id()))
+    doc_id = F.col(own["doc_id"])
+    key = F.struct(doc_id.isNull().alias("unknown"), doc_id.alias("id"), F.xxhash64(*own.values()).alias("hash"), F.col("row_").alias("row"))
+    groups = simhash.near_duplicates(tagged.withColumn("key_", key), shingle=4, max_distance=4, id_col="key_", text_col=own["text"])
+    gone = groups.where("component_id.row <> key_.row").select(F.col("key_.row").alias("row_"))
+    return tagged.join(gone, "row_", "left_anti").select(*own.values()).toDF(*docs.columns)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

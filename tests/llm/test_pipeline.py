@@ -43,3 +43,28 @@ def test_stages_take_edges_and_empty_tables(spark):
             docs = stage(spark, docs, "").cache()
             docs.count()
         assert pipeline.encode(spark, docs, "").count() >= (4 if rows else 0)
+
+
+def test_one_row_of_each_near_group_stays(spark):
+    from haplospark.llm import simhash
+
+    rows = [r for r in edge_rows() if r[1] and r[1].strip()]
+    rows += [(None, "the cat sat on the mat", "en", "b"), (None, "the null id of the row", "fr", None), (None, "only nulls hold this text", "fr", "b")] * 2
+    rows += [(3, "the cat sat on the mat", "en", "z"), (4, "another text that shares the id of the cats", "en", "b"), (8, "and one with the id of the licenses", "en", "b")]
+    prints = [simhash.fingerprint(r[1], 4) for r in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4 and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    got = pipeline.near_dedup(spark, frame(spark, rows).repartition(3), "").collect()
+    have = Counter((r.doc_id, r.text, r.lang, r.source) for r in got)
+    want = Counter()
+    for g in set(group):
+        members = [r for r, x in zip(rows, group) if x == g]
+        least = min(members, key=lambda r: (r[0] is None, r[0] or 0))[0]
+        here = [r for r in set(members) if r in have]
+        assert len(here) == 1 and here[0][0] == least
+        want[here[0]] += 1
+    assert have == want
+    assert len(pipeline.near_dedup(spark, frame(spark, []), "").collect()) == 0
