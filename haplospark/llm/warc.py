@@ -15,14 +15,18 @@ gives no records; other columns are ignored.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
 #: Elements whose content is not text, elements that end a line, and character references.
-DROPPED = ("script", "style", "head", "noscript", "template", "svg", "nav")
+DROPPED = ("script", "style", "head", "noscript", "template", "svg")
 BREAKING = "p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|blockquote|pre|hr"
-REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: The named references of HTML 4, and the numbers that HTML reads as Windows-1252; a fixed space is a space.
+NAMED = {**{name: chr(n) for name, n in name2codepoint.items()}, "apos": "'", "nbsp": " "}
+NUMBERED = {**{n: c for n in range(128, 160) if (c := bytes([n]).decode("cp1252", "ignore"))}, 160: " "}
 
 
 def uuid_of(key: Column) -> Column:
@@ -38,15 +42,36 @@ def digest_of(data: Column) -> Column:
     return F.concat(F.lit("sha1:"), F.sha1(data.cast("binary")))
 
 
+def resolved(text: Column) -> Column:
+    """Text with its numeric and named character references resolved, once; what is none stays as it is."""
+    named = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+    numbered = F.create_map(*[F.lit(x) for pair in NUMBERED.items() for x in pair])
+
+    def one(part: Column) -> Column:
+        ref = F.regexp_extract(part, r"^(#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]*);", 1)
+        digits = F.regexp_extract(part, r"^#[xX]?([0-9A-Fa-f]+)", 1)
+        number = F.when(part.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+        bad = (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+        code = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        char = F.when(ref.startswith("#"), F.when(bad, F.lit("\ufffd")).otherwise(F.coalesce(F.try_element_at(numbered, number.cast("int")), code)))
+        char = char.when(ref != "", F.try_element_at(named, ref))
+        return F.coalesce(F.concat(char, F.substr(part, F.length(ref) + 2)), F.concat(F.lit("&"), part))
+
+    def whole(t: Column) -> Column:
+        parts = F.split(t, "&", -1)
+        rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), one)
+        return F.when(F.contains(t, F.lit("&")), F.concat(parts[0], F.array_join(rest, ""))).otherwise(t)
+
+    return F.transform(F.array(text), whole)[0]  # a bound name, so that the text is worked out once
+
+
 def plain_text(html: Column) -> Column:
     """Text of a page: comments and non-text elements go, block elements end lines, references are resolved."""
     out = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
     for name in DROPPED:
         out = F.regexp_replace(out, rf"(?is)<{name}(\s[^>]*)?>.*?</{name}\s*>", " ")
     out = F.regexp_replace(out, rf"(?i)</?({BREAKING})(\s[^>]*)?/?>", "\n")
-    out = F.regexp_replace(out, r"(?s)<[^>]*>", "")
-    for ref, char in REFERENCES:
-        out = F.replace(out, F.lit(ref), F.lit(char))
+    out = resolved(F.regexp_replace(out, r"(?s)</?[A-Za-z!][^>]*>", ""))
     out = F.regexp_replace(out, r"[ \t\r\f\x0b]+", " ")
     out = F.regexp_replace(out, r" ?(\n ?)+", "\n")
     return F.regexp_replace(out, r"^[ \n]+|[ \n]+$", "")

@@ -523,3 +523,16 @@ def test_every_learned_letter_is_a_symbol(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = langid.identify(df, sample, keep=["lang"]).collect()
     assert len(got) == len(rows) and all(r.lang_pred == r.lang for r in got)
+
+
+def test_plain_text_keeps_all_visible_text(spark):
+    cases = {
+        "<nav><a href=/>home</a></nav><p>body</p>": "home\nbody",
+        "<p>1 < 2 and 3 > 2</p><p>a <- b -> c</p>": "1 < 2 and 3 > 2\na <- b -> c",
+        "&eacute;&#233;&#xE9; &#x1F389;&#8364;&euro; &mdash; &copy; &#39;&apos;&quot;": "ééé 🎉€€ — © ''\"",
+        "&amp;lt; &lt;b&gt; AT&T &unknown; &# &#; & &&amp; x&nbsp;y&#160;z": "&lt; <b> AT&T &unknown; &# &#; & && x y z",
+        "&#0;&#xD800;&#99999999;&#150;": "���–",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "html string").repartition(2)
+    got = dict(map(tuple, df.select("html", warc.plain_text(F.col("html"))).collect()))
+    assert got == cases
