@@ -14,19 +14,23 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT = 64 << 20
 
 
+#: Folders written by this process's sessions, for clean_up().
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is absent, as in tests, a folder in /tmp/checkpoints is set.
+    Only where the setting is absent and all runs on one machine, as in tests, a folder
+    in /tmp is set; on a cluster without the setting this raises.
     """
     context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir("file:///tmp/checkpoints")
         root = context.getCheckpointDir()
-    if not root:
-        root = "file:///tmp/checkpoints"
-        context.setCheckpointDir(root)
-        root = context.getCheckpointDir() or root
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -38,9 +42,19 @@ def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean_up(spark: SparkSession) -> int:
+    """Delete what materialise() has written so far, once no result that reads it is needed any more; their number."""
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in _WRITTEN]
+    for path in paths:
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _WRITTEN.clear()
+    return len(paths)
+
+
 def map_rows(df: DataFrame, schema: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """mapInArrow under a fixed schema."""
     return df.mapInArrow(fn, schema)

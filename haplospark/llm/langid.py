@@ -6,12 +6,17 @@ phrases times the log of the sample's size, per symbol, estimates the cross entr
 of the text under the language; the lowest wins.
 
 Texts are lower-cased; every letter of the sample, of whatever script, is a symbol of its
-own, letters that no language has share one, and a run of anything else is one break. A text is parsed
-in blocks of BLOCK symbols, all of them, so that many blocks advance in step; each
-block starts a new phrase under every language alike.
-
-Defined cases: null text and text without a letter are ``und`` with score 0; ties go
-to the language that sorts first; other columns are ignored, repeated rows repeat.
+own, letters that no language has share one, and a run of anything else is one break. Texts are
+parsed whole. So that many places advance in step, a text is cut into blocks of BLOCK
+symbols that are parsed as if each began a phrase; then each block is entered again in
+the state that the block before it ends in, up to the first phrase that both
+parses begin together, from where on they are the same. A block without one is parsed to its end
+and hands its own state on.
+
+Defined cases: null text and text without a letter are ``und`` with score 0; an empty
+table gives no rows; ties go to the language that sorts first; other columns are ignored,
+whatever their names, unless named in keep; repeated rows repeat; very long texts are
+parsed whole, one block at a time where phrases are longer than blocks.
 """
 
 from __future__ import annotations
@@ -32,8 +37,6 @@ BREAK, OTHER, PAD = 0, 1, 2
 #: A language of more symbols than this keeps its transitions in a sorted list, not in a table.
 TABLE_WIDTH = 64
 CUT = 1 << 30
-#: More labels than this are not languages.
-MAX_LANGUAGES = 200
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -46,6 +49,7 @@ def fit_sample(
     rows_per_language: int = 300,
     chars_per_row: int = 1200,
     chars_per_language: int = 40_000,
+    languages: int = 5000,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
@@ -54,17 +58,16 @@ def fit_sample(
 
     About rows_per_language rows of each language are drawn by a hash of the id, the
     first chars_per_row of each are taken, and the joined text is cut at
-    chars_per_language. These three bounds are the whole size of what is fitted.
+    chars_per_language. Of more labels than languages, the most frequent are learned
+    (ties: the first in order). These four bounds are the whole size of what is fitted.
     """
     rows = input_columns(df, id=id_col, text=text_col, lang=lang_col).where("lang is not null and text is not null")
-    counts = dict(rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect())
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} labels")
+    counts = dict(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect())
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, rows_per_language / n))])
+    share = F.map_from_arrays(F.lit(list(counts)), F.lit([min(1.0, rows_per_language / n) for n in counts.values()]))
     draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.where(draw < share[F.col("lang")]).select("lang", draw.alias("at"), F.substring("text", 1, chars_per_row).alias("text"))
+    drawn = rows.where(draw < F.try_element_at(share, F.col("lang"))).select("lang", draw.alias("at"), F.substring("text", 1, chars_per_row).alias("text"))
     parts: dict[str, list[str]] = {}
     for lang, _, text in sorted(map(tuple, drawn.collect()), key=lambda r: (r[0], r[1], r[2])):
         parts.setdefault(lang, []).append(text)
@@ -72,11 +75,11 @@ def fit_sample(
 
 
 class Automaton:
-    """Transitions of a suffix automaton; a missing one restarts at the root and marks a cut.
+    """Transitions of a suffix automaton; a missing one restarts at the root and marks where a phrase begins.
 
     Symbols are numbered anew by the sample's own (0: not in it, 1: PAD, which keeps the
-    state). Few symbols make a table of a power of two of columns; many, a sorted list of
-    the edges, whose size does not depend on the alphabet.
+    state). The edges are a sorted list, whose size does not depend on the alphabet; tasks
+    spread those of a small alphabet over a table.
     """
 
     def __init__(self, symbols: np.ndarray, n_codes: int):
@@ -110,31 +113,31 @@ class Automaton:
         self.local = np.zeros(n_codes, np.int32)
         self.local[own] = np.arange(2, len(own) + 2)
         self.local[PAD] = 1
-        self.width = 1 << (len(own) + 1).bit_length()
-        self.restart = np.full(self.width, CUT, np.int32)
+        self.width, self.n_states = len(own) + 2, len(after) + 1
+        self.dead = len(after)  # after a symbol that the sample lacks, and before a text: any symbol begins a phrase
+        self.restart = np.full(self.width, self.dead | CUT, np.int32)
         for c, s in after[0].items():
             self.restart[self.local[c]] = s | CUT
-        self.table = None
-        if self.width <= TABLE_WIDTH:
-            table = np.tile(self.restart, (len(after), 1))
-            for s, edges in enumerate(after):
-                for c, t in edges.items():
-                    table[s, self.local[c]] = t
-            table[:, 1] = np.arange(len(after))
-            self.table = table.ravel()
-        else:
-            keys = [(s * self.width + int(self.local[c]), t) for s, edges in enumerate(after) for c, t in edges.items()]
-            keys.sort()
-            self.keys = np.array([k for k, _ in keys], np.int64)
-            self.to = np.array([t for _, t in keys], np.int32)
+        keys = sorted((s * self.width + int(self.local[c]), t) for s, edges in enumerate(after) for c, t in edges.items())
+        self.keys = np.array([k for k, _ in keys], np.int64)
+        self.to = np.array([t for _, t in keys], np.int32)
         self.bits = math.log2(len(symbols) + 2)
 
-    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """The states after these symbols (numbered by local), with CUT where a phrase ends."""
-        if self.table is not None:
+    def table(self) -> np.ndarray | None:
+        """The transitions as a table with a row for each state, if the alphabet is small."""
+        if self.width > TABLE_WIDTH:
+            return None
+        table = np.tile(self.restart, self.n_states)
+        table[self.keys] = self.to
+        table[1 :: self.width] = np.arange(self.n_states)
+        return table
+
+    def step(self, state: np.ndarray, symbol: np.ndarray, table: np.ndarray | None) -> np.ndarray:
+        """The states after these symbols (numbered by local), with CUT where a phrase begins."""
+        if table is not None:
             at = state * self.width
             at += symbol
-            return self.table.take(at)
+            return table.take(at)
         key = state.astype(np.int64) * self.width + symbol
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         out = np.where(self.keys[at] == key, self.to[at], self.restart[symbol])
@@ -164,8 +167,9 @@ class Model:
             found = found[keep]
         return found
 
-    def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def costs(self, texts: list[str], tables: list[np.ndarray | None] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Bits a symbol, a row for each language and a column for each text; which texts have letters."""
+        tables = tables or [a.table() for a in self.automata]
         streams = [self.symbols(t) for t in texts]
         sizes = np.array([len(s) for s in streams], np.int64)
         letters = np.array([bool((s != BREAK).any()) for s in streams], bool)
@@ -180,34 +184,75 @@ class Model:
         order = np.argsort(-length, kind="stable")
         steps = np.ascontiguousarray(grid[order].T)
         alive = np.searchsorted(-length[order], -np.arange(BLOCK), side="left")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        inner = np.flatnonzero(owner[1:] == owner[:-1]) + 1  # blocks with one before them
         out = np.zeros((len(self.automata), len(texts)))
         for k, automaton in enumerate(self.automata):
             own = automaton.local.take(steps)
-            state = np.zeros(len(owner), np.int32)
-            cuts = np.ones(len(owner), np.int32)
+            state = np.full(len(owner), automaton.dead, np.int32)
+            ends = np.zeros((BLOCK, len(owner)), bool)
             for t in range(BLOCK):
                 n = int(alive[t])
                 if not n:
                     break
-                at = automaton.step(state[:n], own[t, :n])
-                cuts[:n] += at >> 30
+                at = automaton.step(state[:n], own[t, :n], tables[k])
+                ends[t, :n] = at >> 30
                 at &= CUT - 1
                 state[:n] = at
+            cuts = self._joined(automaton, tables[k], own, state, ends, length[order], place[inner - 1], place[inner])
             total = np.bincount(owner[order], weights=cuts, minlength=len(texts))
             out[k] = total * automaton.bits / np.maximum(1, sizes)
         return out, letters
 
-
-_MODELS: dict[int, Model] = {}
-
-
-def _model(sample: dict[str, str]) -> Model:
-    """The model of a sample, built once in each worker process."""
-    key = hash(tuple(sorted(sample.items())))
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(sample)
-    return _MODELS[key]
+    @staticmethod
+    def _joined(automaton: Automaton, table: np.ndarray | None, own: np.ndarray, state: np.ndarray, ends: np.ndarray,
+                length: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each block of the parse of whole texts. left, right: neighbouring blocks, in the order of the texts."""
+        cuts = ends.sum(axis=0, dtype=np.int64)
+        ahead = np.cumsum(ends, axis=0, dtype=np.int16)
+        spec = cuts.copy()
+        at, now = right, state[left]
+        seen = np.zeros(len(right), np.int64)
+        late: dict[int, tuple[int, int]] = {}
+        for t in range(BLOCK):
+            live = length[at] > t
+            for b, n, s in zip(at[~live].tolist(), seen[~live].tolist(), now[~live].tolist()):
+                late[b] = (n, s)  # ran out of symbols before the parses met
+            at, now, seen = at[live], now[live], seen[live]
+            if not len(at):
+                break
+            new = automaton.step(now, own[t, at], table)
+            end = (new >> 30).astype(bool)
+            now, seen = new & (CUT - 1), seen + end
+            met = end & ends[t, at]
+            cuts[at[met]] = seen[met] + spec[at[met]] - ahead[t, at[met]]
+            at, now, seen = at[~met], now[~met], seen[~met]
+        for b, n, s in zip(at.tolist(), seen.tolist(), now.tolist()):
+            late[b] = (n, s)
+        after = dict(zip(left.tolist(), right.tolist())) if late else {}
+        for b in right.tolist() if late else ():
+            if b not in late:
+                continue
+            cuts[b], final = late.pop(b)
+            follower = after.get(b)
+            if follower is None or final == state[b]:
+                continue
+            n, s, met = 0, final, False
+            for t in range(int(length[follower])):
+                x = int(automaton.step(np.array([s], np.int32), own[t, follower : follower + 1], table)[0]) if table is None \
+                    else int(table[s * automaton.width + own[t, follower]])
+                s = x & (CUT - 1)
+                if x >> 30:
+                    n += 1
+                    if ends[t, follower]:
+                        cuts[follower] = n + spec[follower] - ahead[t, follower]
+                        met = True
+                        break
+            late.pop(follower, None)
+            if not met:
+                late[follower] = (n, s)
+        return cuts
 
 
 def identify(df: DataFrame, sample: dict[str, str], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -219,16 +264,17 @@ def identify(df: DataFrame, sample: dict[str, str], id_col: str = "doc_id", text
     """
     keep = keep or []
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *[F.col(f"`{k}`") for k in keep])
-    shared = df.sparkSession.sparkContext.broadcast(sample)
+    shared = df.sparkSession.sparkContext.broadcast(Model(sample) if sample else None)  # a size set by the sample's bounds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(shared.value) if shared.value else None
+        model = shared.value
         names = np.array(model.languages) if model else None
+        tables = [a.table() for a in model.automata] if model else []
         for whole in batches:
             for batch in chunks(whole, "__text", 4 << 20):
                 texts = [x or "" for x in batch.column(1).to_pylist()]
                 if model:
-                    costs, letters = model.costs(texts)
+                    costs, letters = model.costs(texts, tables)
                     ranked = np.sort(costs, axis=0)
                     best = names[np.argmin(costs, axis=0)]
                     gap = (ranked[1] - ranked[0]) / np.maximum(ranked[1], 1e-12) if len(names) > 1 else np.ones(len(texts))

@@ -10,12 +10,15 @@ contains it. What survives gives the labels and the score.
 Everything stays in the document's own row: no join, no shuffle, no explode.
 
 Defined cases: null text has no words and no detection (labels are empty strings,
-first_word and last_word null, score 0); repeated rows repeat; other columns are
-ignored; equal intervals of equal priority leave the rule that stands first.
+first_word and last_word null, score 0); an empty table gives no rows; repeated rows
+repeat; other columns are ignored, whatever their names; equal intervals of equal priority
+leave the rule that stands first; very long texts take time in proportion to their
+length and detections.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -173,23 +176,47 @@ def _whole(pattern: str) -> str:
     return f"(?<= )(?:{pattern})(?= )"
 
 
+def _running(items: Column, zero: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]], size: int = 256) -> Column:
+    """What step(state, item) -> (state, array) emits for each item, under a state that each item hands to the next.
+
+    kind: type of the emitted arrays. Items go in runs of size, so that lists of size at
+    most are copied for each item: time grows with the number of items, not its square.
+    """
+    nothing = F.array().cast(kind)
+
+    def add(held: Column, item: Column) -> Column:
+        state, emitted = step(held["state"], item)
+        return F.struct(state.alias("state"), F.concat(held["out"], emitted).alias("out"))
+
+    def run(held: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(held["state"].alias("state"), nothing.alias("out")), add)
+        return F.transform(F.array(done), lambda d: F.struct(d["state"].alias("state"), F.concat(held["out"], F.array(d["out"])).alias("out")))[0]
+
+    def all_of(given: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(given), F.lit(1)), F.lit(size))
+        parts = F.transform(starts, lambda i: F.slice(given, i, F.lit(size)))
+        empty = F.struct(zero.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.flatten(F.aggregate(parts, empty, run, lambda s: s["out"]))
+
+    return F.transform(F.array(items), all_of)[0]  # a bound name, so that the items are worked out once
+
+
 def _detections(norm: Column, rule: Column) -> Column:
     """Word intervals [start, stop) of one rule's matches."""
     matches = F.regexp_extract_all(norm, rule["pattern"], F.lit(0))
     gaps = F.slice(F.split(norm, rule["pattern"], -1), F.lit(1), F.size(matches))
-    span = "struct<pos:int,spans:array<struct<start:int,stop:int,priority:int,no:int,label:string,weight:double>>>"
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["pos"] + _spaces(pair["gaps"]) - 1
+    def step(at: Column, pair: Column) -> tuple[Column, Column]:
+        start = at + _spaces(pair["gaps"]) - 1
         stop = start + _spaces(pair["matches"]) + 1
         found = F.struct(
             start.alias("start"), stop.alias("stop"), rule["priority"].alias("priority"), rule["no"].alias("no"),
             rule["label"].alias("label"), rule["weight"].alias("weight"),
         )
-        return F.struct(stop.alias("pos"), F.concat(state["spans"], F.array(found)).alias("spans")).cast(span)
+        return stop, F.array(found)
 
-    empty = F.struct(F.lit(0).alias("pos"), F.array().alias("spans")).cast(span)
-    return F.aggregate(F.arrays_zip(gaps.alias("gaps"), matches.alias("matches")), empty, step, lambda s: s["spans"])
+    kind = "array<struct<start:int,stop:int,priority:int,no:int,label:string,weight:double>>"
+    return _running(F.arrays_zip(gaps.alias("gaps"), matches.alias("matches")), F.lit(0), kind, step)
 
 
 def _surviving(found: Column) -> Column:
@@ -202,21 +229,18 @@ def _surviving(found: Column) -> Column:
         )
     )
     names = [f"far{i}" for i in range(LEVELS)]
-    kind = "struct<" + ",".join(f"{n}:int" for n in names) + ",out:array<struct<label:string,weight:double>>>"
+    kind = "array<struct<label:string,weight:double>>"
 
-    def step(state: Column, d: Column) -> Column:
+    def step(far: Column, d: Column) -> tuple[Column, Column]:
         stop = -d["back"]
         covered = F.lit(False)
         for i, n in enumerate(names):
-            covered = covered | ((d["priority"] >= i) & (state[n] >= stop))
+            covered = covered | ((d["priority"] >= i) & (far[n] >= stop))
         kept = F.array(F.struct(d["label"].alias("label"), d["weight"].alias("weight")))
-        return F.struct(
-            *[F.when(d["priority"] == i, F.greatest(state[n], stop)).otherwise(state[n]).alias(n) for i, n in enumerate(names)],
-            F.when(covered, state["out"]).otherwise(F.concat(state["out"], kept)).alias("out"),
-        ).cast(kind)
+        new = F.struct(*[F.when(d["priority"] == i, F.greatest(far[n], stop)).otherwise(far[n]).alias(n) for i, n in enumerate(names)])
+        return new, F.when(covered, F.array().cast(kind)).otherwise(kept)
 
-    empty = F.struct(*[F.lit(-1).alias(n) for n in names], F.array().alias("out")).cast(kind)
-    return F.aggregate(order, empty, step, lambda s: s["out"])
+    return _running(order, F.struct(*[F.lit(-1).alias(n) for n in names]), kind, step)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

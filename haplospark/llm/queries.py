@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from haplospark.llm import bpe, langid, license_scan, mixing, quality, simhash, spotsigs, suffix, warc
 from haplospark.llm.oracles import ORACLES
 
-import corpus_pipeline
 import public_tokenizers
 
 
@@ -70,7 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_byte_bpe, op2_simhash, op3_token_counts, op4_quality_rules, op5_language_id,
         op6_suffix_dedup, op7_source_mix, op8_spotsigs, op9_warc, op10_license_scan,
     )
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

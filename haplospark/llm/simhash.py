@@ -10,11 +10,14 @@ the grid cell, a fingerprint visits its own cell and those one step away, and al
 that meet in a cell are verified exactly on the 64 bits. Links of a cell leave as a
 spanning forest, never as all pairs. Copies collapse to one fingerprint before the
 join, and no more than the fingerprints of a Hamming ball can be close to each other,
-so a cell's rows stay bounded however often a text is copied.
+so a cell's rows stay bounded however often a text is copied. A cell that many different
+fingerprints fill is cut again by slices of their bits.
 
 Defined cases: null or wordless text has fingerprint zero, linked like any other;
 a null id never becomes a component id unless its group has no other; repeated rows
-give repeated results; other columns of the input are ignored.
+give repeated results; an empty table gives no rows; a bit set in exactly half of the
+hashes is 0; equal ids share nothing but the id; other columns of the input are ignored,
+whatever their names; very long texts are hashed whole, one at a time.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from haplospark.llm.components import connected_components
 
 SEED = 42
 SEGMENT_BITS = 2
+#: Rows of a cell that are compared with one another at once.
+FULL_CELL = 512
 
 
 def fingerprint(text: str, shingle: int) -> int:
@@ -115,22 +120,48 @@ def _flood(fps: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cell_links(fps: np.ndarray, visit: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links found in one cell. Two visitors need not be compared: their own cells see to them."""
-    home = np.flatnonzero(~visit)
+    """Links found in one cell. Two visitors need not be compared: their own cells see to them.
+
+    In a full cell the 64 bits are cut once more, into max_distance + 1 slices, of which
+    two close fingerprints share one at least; only those with an equal slice are compared.
+    """
+    if len(fps) <= FULL_CELL:
+        return _compare(fps, visit, np.arange(len(fps)), max_distance)
+    a, b, found = [], [], 0
+    edges = np.linspace(0, 64, max_distance + 2).astype(int)
+    for low, high in zip(edges, edges[1:]):
+        part = (fps >> np.uint64(low)) & np.uint64((1 << int(high - low)) - 1)
+        order = np.argsort(part, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            if len(group) > 1 and not visit[group].all():
+                x, y = _compare(fps, visit, group, max_distance)
+                a.append(x)
+                b.append(y)
+                found += len(x)
+        if found > 16 * len(fps) + 64:
+            return _flood(fps, max_distance)
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *a]), np.concatenate([empty, *b])
+
+
+def _compare(fps: np.ndarray, visit: np.ndarray, group: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links in a group (indexes) of a cell, a home row at one end at least; a forest of the group where they are many."""
+    home = group[~visit[group]]
     if not len(home):
         return home, home
     a, b = [], []
-    step = max(1, (1 << 20) // len(fps))
+    step = max(1, (1 << 20) // len(group))
     found = 0
     for at in range(0, len(home), step):
         rows = home[at : at + step]
-        i, j = np.nonzero(np.bitwise_count(fps[rows][:, None] ^ fps[None, :]) <= max_distance)
-        keep = rows[i] != j
+        i, j = np.nonzero(np.bitwise_count(fps[rows][:, None] ^ fps[group][None, :]) <= max_distance)
+        keep = rows[i] != group[j]
         a.append(rows[i][keep])
-        b.append(j[keep])
+        b.append(group[j][keep])
         found += int(keep.sum())
-        if found > 4 * len(fps) + 64:
-            return _flood(fps, max_distance)
+        if found > 4 * len(group) + 64:
+            x, y = _flood(fps[group], max_distance)
+            return group[x], group[y]
     return np.concatenate(a), np.concatenate(b)
 
 

@@ -10,7 +10,9 @@ WARC-Refers-To and carry block and payload digests of their own.
 Defined cases: a null or empty body is a response with an empty payload, whose
 derivatives are empty too; a null URL stays null and its header is left out; repeated
 rows give repeated records (ids are derived from the row's content); an empty table
-gives no records; other columns are ignored.
+gives no records; other columns are ignored, whatever their names; a comment, tag or
+element that is never closed reaches to the end, so very long pages take time in
+proportion to their length.
 """
 
 from __future__ import annotations
@@ -21,6 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
+#: Stand around a tag's name while tags are cut out. Unicode reserves them as no characters; pages lose them.
+OPEN, CLOSE = "\ufdd0", "\ufdd1"
+#: The date of sources that have none.
+EPOCH = "1970-01-01T00:00:00Z"
 #: Elements whose content is not text, elements that end a line, and character references.
 DROPPED = ("script", "style", "head", "noscript", "template", "svg")
 BREAKING = "p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|blockquote|pre|hr"
@@ -66,32 +72,43 @@ def resolved(text: Column) -> Column:
 
 
 def plain_text(html: Column) -> Column:
-    """Text of a page: comments and non-text elements go, block elements end lines, references are resolved."""
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
+    """Text of a page: comments and non-text elements go, block elements end lines, references are resolved.
+
+    What is opened and never closed reaches to the page's end (a head: to the body), so
+    every pattern passes over a page once, however many openings it has.
+    """
+    out = F.regexp_replace(F.translate(html, OPEN + CLOSE, ""), r"(?s)<!--.*?(?:-->|\z)", " ")
     for name in DROPPED:
-        out = F.regexp_replace(out, rf"(?is)<{name}(\s[^>]*)?>.*?</{name}\s*>", " ")
-    out = F.regexp_replace(out, rf"(?i)</?({BREAKING})(\s[^>]*)?/?>", "\n")
-    out = resolved(F.regexp_replace(out, r"(?s)</?[A-Za-z!][^>]*>", ""))
+        body = r"|(?=<body[\s/>])" if name == "head" else ""
+        out = F.regexp_replace(out, rf"(?is)<{name}(?=[\s/>]).*?(?:</{name}\s*>{body}|\z)", " ")
+    out = F.regexp_replace(out, rf"(?i)</?(?:({BREAKING})(?=[\s/>])|[A-Z!])[^>]*(?:>|\z)", f"{OPEN}$1{CLOSE}")
+    out = F.translate(F.regexp_replace(out, f"{OPEN}[A-Za-z0-9]+{CLOSE}", "\n"), OPEN + CLOSE, "")
+    out = resolved(out)
     out = F.regexp_replace(out, r"[ \t\r\f\x0b]+", " ")
-    out = F.regexp_replace(out, r" ?(\n ?)+", "\n")
+    out = F.regexp_replace(out, r" ?\n[ \n]*", "\n")
     return F.regexp_replace(out, r"^[ \n]+|[ \n]+$", "")
 
 
 def title_of(html: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1), r"[ \t\r\n\f\x0b]+", " "))
+    title = F.regexp_extract(html, r"(?is)<title(?=[\s/>])[^>]*(?:>|\z)(.*?)(?:</title|\z)", 1)
+    return F.trim(F.regexp_replace(title, r"[ \t\r\n\f\x0b]+", " "))
+
 
+def responses(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: Column | str = EPOCH) -> DataFrame:
+    """Response records of raw pages: id, record_id, target_uri, warc_date, http_head, payload, payload_digest.
 
-def responses(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Response records of raw pages: id, record_id, target_uri, http_head, payload, payload_digest."""
+    date: when the pages were fetched, as a WARC-Date or a column of them.
+    """
+    date = F.lit(date) if isinstance(date, str) else date
     body = F.coalesce(F.col(html_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("target_uri"), body.alias("payload"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("target_uri"), body.alias("payload"), F.coalesce(date, F.lit(EPOCH)).alias("warc_date"))
     head = F.concat(
         F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
         F.octet_length("payload").cast("string"), F.lit(CRLF + CRLF),
     )
     key = F.concat_ws("|", F.lit("response"), F.col("id").cast("string"), F.coalesce("target_uri", F.lit("")), F.sha1(F.col("payload").cast("binary")))
     return rows.select(
-        "id", uuid_of(key).alias("record_id"), "target_uri", head.alias("http_head"), "payload", digest_of(F.col("payload")).alias("payload_digest")
+        "id", uuid_of(key).alias("record_id"), "target_uri", "warc_date", head.alias("http_head"), "payload", digest_of(F.col("payload")).alias("payload_digest")
     )
 
 
@@ -103,12 +120,12 @@ def head_fields(head: Column, prefix: str) -> Column:
 
 
 def derivatives(records: DataFrame) -> DataFrame:
-    """Two records for each response: id, warc_type, record_id, refers_to, target_uri, http_head, content_type,
-    source_digest, source_length, block, block_digest, content_length, header."""
-    text = records.select("id", "record_id", "target_uri", "http_head", "payload_digest", F.octet_length("payload").alias("source_length"),
+    """Two records for each response: id, warc_type, record_id, refers_to, target_uri, warc_date, http_head, content_type,
+    source_digest, source_length, block, block_digest, content_length, header. WARC-Date is the source's, so that reruns agree."""
+    text = records.select("id", "record_id", "target_uri", "warc_date", "http_head", "payload_digest", F.octet_length("payload").alias("source_length"),
                           plain_text(F.col("payload")).alias("text"), title_of(F.col("payload")).alias("title"),
-                          F.lower(F.regexp_extract("payload", r"(?i)<html[^>]*\slang=[\"']?([A-Za-z-]+)", 1)).alias("lang"),
-                          F.regexp_count("payload", F.lit(r"(?i)<a\s[^>]*href\s*=")).alias("links"))
+                          F.lower(F.regexp_extract("payload", r"(?i)<html(?=\s)[^<>]*\slang=[\"']?([A-Za-z-]+)", 1)).alias("lang"),
+                          F.regexp_count("payload", F.lit(r"(?i)<a\s[^<>]*href\s*=")).alias("links"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     fields = F.concat(
         line("title", F.col("title")), line("language", F.col("lang")), line("outlinks", F.col("links").cast("string")),
@@ -119,14 +136,14 @@ def derivatives(records: DataFrame) -> DataFrame:
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
         F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block")),
     )
-    out = text.select("id", "record_id", "target_uri", "http_head", "payload_digest", "source_length", F.explode(kinds).alias("r"))
+    out = text.select("id", "record_id", "target_uri", "warc_date", "http_head", "payload_digest", "source_length", F.explode(kinds).alias("r"))
     out = out.select(
         "id", "r.warc_type", uuid_of(F.concat_ws("|", F.col("r.warc_type"), F.col("record_id"))).alias("record_id"),
-        F.col("record_id").alias("refers_to"), "target_uri", "http_head", "r.content_type", F.col("payload_digest").alias("source_digest"), "source_length",
+        F.col("record_id").alias("refers_to"), "target_uri", "warc_date", "http_head", "r.content_type", F.col("payload_digest").alias("source_digest"), "source_length",
         "r.block", digest_of(F.col("r.block")).alias("block_digest"), F.octet_length("r.block").alias("content_length"),
     )
     head = F.concat(
-        F.lit(f"WARC/1.1{CRLF}"), line("WARC-Type", F.col("warc_type")), line("WARC-Record-ID", F.col("record_id")),
+        F.lit(f"WARC/1.1{CRLF}"), line("WARC-Type", F.col("warc_type")), line("WARC-Record-ID", F.col("record_id")), line("WARC-Date", F.col("warc_date")),
         line("WARC-Refers-To", F.col("refers_to")),
         F.coalesce(line("WARC-Target-URI", F.col("target_uri")), F.lit("")),
         head_fields(F.col("http_head"), "WARC-Source-HTTP-"),
