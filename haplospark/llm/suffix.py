@@ -24,7 +24,9 @@ Whole copies of a document are known by 128 bits of its SHA-256.
 
 Defined cases: null text counts as empty; texts shorter than ``length`` lose nothing;
 null ids come after all others; rows with equal ids are ordered by a hash of their
-text; repeated rows are copies, of which one stays whole; an empty table gives no rows.
+text; repeated rows are copies, of which one stays whole; an empty table gives no rows;
+other columns are ignored, whatever their names, unless named in keep; a text longer than
+a block is a block of its own, held whole.
 """
 
 from __future__ import annotations
@@ -62,14 +64,35 @@ def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
     return (max(fit), COVERS[max(fit)]) if fit else (1, (0,))
 
 
+def _offsets(length: int) -> list[int]:
+    """Where the words of 8 bytes start that cover a string of length bytes."""
+    return [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position, as a number."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", data, 0, (1,))
+
+
 def names_at(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """64-bit names of the length bytes from each position (length 8 or more)."""
     if not len(at):
         return np.zeros(0, np.uint64)
-    words = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
-    out = np.full(len(at), length, np.uint64)
-    for offset in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-        out ^= words[at + offset]
+    words, size = _words(data), 1 << 14
+    if 2 * len(at) < len(data):
+        return np.concatenate([_mixed([words[at[s : s + size] + o] for o in _offsets(length)], length) for s in range(0, len(at), size)])
+    words = np.ascontiguousarray(words)  # nearly all positions: neighbours share their words
+    every = np.empty(len(data) - length + 1, np.uint64)
+    for s in range(0, len(every), size):
+        e = min(len(every), s + size)
+        every[s:e] = _mixed([words[s + o : e + o] for o in _offsets(length)], length)
+    return every[at]
+
+
+def _mixed(words: list[np.ndarray], length: int) -> np.ndarray:
+    out = np.full(len(words[0]), length, np.uint64)
+    for word in words:
+        out ^= word
         out *= _MIX
         out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
@@ -78,12 +101,29 @@ def names_at(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
 
 
 def _equal(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray, length: int) -> np.ndarray:
-    """Which of the strings of length bytes at these positions of a are those at the positions of b."""
+    """Which of the strings of length bytes at these positions of a are those at the positions of b.
+
+    Where both positions go on by one for a while, each byte is compared once.
+    """
     out = np.ones(len(at), bool)
-    if len(at):
-        left, right = (np.ndarray((len(x) - 7,), "<u8", x, 0, (1,)) for x in (a, b))
-        for offset in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-            out &= left[at + offset] == right[to + offset]
+    if not len(at):
+        return out
+    heads = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(to) != 1)]))
+    n = np.diff(np.concatenate([heads, [len(at)]]))
+    short = np.flatnonzero(np.repeat(n < 12, n))
+    left, right, same = _words(a), _words(b), np.ones(len(short), bool)
+    for offset in _offsets(length) if len(short) else ():
+        same &= left[at[short] + offset] == right[to[short] + offset]
+    out[short] = same
+    heads, m = heads[n >= 12], n[n >= 12]
+    sizes = m + length - 1
+    base = np.cumsum(sizes) - sizes
+    step = np.arange(sizes.sum())
+    differ = a[step + np.repeat(at[heads] - base, sizes)] != b[step + np.repeat(to[heads] - base, sizes)]
+    bad = np.zeros(len(step) + 1, np.int32)
+    np.cumsum(differ, out=bad[1:])
+    starts = np.repeat(base - (np.cumsum(m) - m), m) + np.arange(m.sum())
+    out[np.repeat(n >= 12, n)] = bad[starts + length] == bad[starts]
     return out
 
 

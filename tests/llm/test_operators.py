@@ -333,6 +333,22 @@ def test_repeats_on_documents(docs):
     assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute_repeats(rows, 100), key=repr)
 
 
+def test_names_and_equality_of_strings():
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 99, 6000).astype(np.uint8)
+    data[3000:4000] = data[500:1500]
+    every = np.arange(len(data) - 29)
+    names = suffix.names_at(data, every, 30)
+    few = rng.integers(0, len(every), 500)
+    assert (suffix.names_at(data, few, 30) == names[few]).all()
+    strings = [data[i : i + 30].tobytes() for i in every]
+    at = np.concatenate([np.arange(3000, 3990), few, np.arange(10, 60)])
+    to = np.concatenate([np.arange(500, 1490), few[::-1], np.arange(9, 59)])
+    want = [strings[i] == strings[j] for i, j in zip(at, to)]
+    assert suffix._equal(data, at, data, to, 30).tolist() == want and any(want) and not all(want)
+    assert suffix._equal(data, at[:5], data.copy(), to[:5], 30).tolist() == want[:5]
+
+
 def test_covers_are_covers():
     for v, cover in suffix.COVERS.items():
         for shift in range(v):
@@ -628,7 +644,7 @@ def test_license_scan_takes_long_texts(spark):
     start = time.perf_counter()
     got = {r.doc_id: r for r in license_scan.scan(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
     assert time.perf_counter() - start < 90
-    assert (got[0].n_base, got[0].labels, got[0].last_word) == (30_000, "apache,apache-2.0,mit", 11 * 15_000 - 2)
+    assert (got[0].n_base, got[0].labels, got[0].last_word) == (30_000, "apache,apache-2.0,mit", 12 * 15_000 - 2)
     assert got[1].n_detections == 20_000 and got[1].labels == "gpl-2-or-later"
 
 
