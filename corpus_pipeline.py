@@ -49,7 +49,7 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Passages of 100 bytes or more that stand earlier go; n_chars follows the text."""
     rows, own = _plain(docs)
     rest = [c for k, c in own.items() if k not in ("doc_id", "text")]
-    left = suffix.remove_repeats(rows, 100, own["doc_id"], own["text"], keep=rest, with_text=True)
+    left = suffix.remove_repeats(rows, 100, own["doc_id"], own["text"], keep=rest, with_text=True, block_bytes=1 << 20)
     left = left.withColumn(own["n_chars"], F.length(own["text"]).cast("long"))
     return left.select(*own.values()).toDF(*docs.columns)
 
