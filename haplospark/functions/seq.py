@@ -48,7 +48,11 @@ def complement(seq: Column) -> Column:
 
 
 def kmers(seq: Column, k: int, step: int = 1) -> Column:
-    """The k-mers that start every step bases; none for shorter sequences."""
+    """The k-mers that start every step bases; none for shorter sequences. Side by side, or one base on, they are found in one pass."""
+    if step == k:
+        return F.regexp_extract_all(seq, F.lit(f"(?s).{{{k}}}"), F.lit(0))
+    if step == 1:
+        return F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
     starts = F.sequence(F.lit(1), F.length(seq) - k + 1, F.lit(step))
     return F.when(F.length(seq) >= k, F.transform(starts, lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 

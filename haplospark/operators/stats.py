@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def zscore_population(value: str, by: list[str]) -> Column:
-    """ddof 0; a zero deviation counts as one; null with fewer than two values."""
-    own = W.partitionBy(*by)
-    sd = F.coalesce(F.nullif(F.stddev_pop(value).over(own), F.lit(0.0)), F.lit(1.0))
-    return F.when(F.count(value).over(own) >= 2, (F.col(value) - F.avg(value).over(own)) / sd)
+def with_zscore(df: DataFrame, value: str, by: list[str], name: str = "z") -> DataFrame:
+    """df with a z of ddof 0; a zero deviation counts as one; null with fewer than two values. Groups meet as one row each."""
+    sd = F.coalesce(F.nullif(F.stddev_pop(value), F.lit(0.0)), F.lit(1.0))
+    stats = df.groupBy(*by).agg(F.avg(value).alias("m_"), sd.alias("sd_"), F.count(value).alias("n_"))
+    z = F.when(F.col("n_") >= 2, (F.col(value) - F.col("m_")) / F.col("sd_"))
+    return df.join(stats, by).withColumn(name, z).drop("m_", "sd_", "n_")
 
 
-def zscore_train(value: str, train: Column, by: list[str], guard: float = 1e-3) -> Column:
-    """Mean and ddof-1 deviation of the training rows only; null where the deviation is at most guard."""
-    own = W.partitionBy(*by)
+def with_train_zscore(df: DataFrame, value: str, train: Column, by: list[str], name: str = "z", guard: float = 1e-3) -> DataFrame:
+    """df with a z by mean and ddof-1 deviation of the training rows only; null where the deviation is at most guard."""
     known = F.when(train, F.col(value))
-    sd = F.stddev_samp(known).over(own)
-    return F.when(sd > guard, (F.col(value) - F.avg(known).over(own)) / sd)
+    stats = df.groupBy(*by).agg(F.avg(known).alias("m_"), F.stddev_samp(known).alias("sd_"))
+    z = F.when(F.col("sd_") > guard, (F.col(value) - F.col("m_")) / F.col("sd_"))
+    return df.join(stats, by).withColumn(name, z).drop("m_", "sd_")
 
 
 def average_rank(value: str, by: list[str]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from haplospark.operators.stats import average_rank, masked_metrics, zscore_population, zscore_train
+from haplospark.operators.stats import average_rank, masked_metrics, with_train_zscore, with_zscore
 from haplospark.plans.base import ALLC, DOSAGE, PHENO, allc, dosage, pheno
 from haplospark.plans.registry import query, table
 from haplospark.streaming.accumulate import site_accumulators
@@ -106,7 +106,8 @@ def a21(spark, d):
 
 @query("a22_group_deviation", f"with {PHENO} select iid, round(value - avg(value) over (partition by trait), 4) as deviation from pheno")
 def a22(spark, d):
-    return pheno(spark, d).select("iid", F.round(F.col("value") - F.avg("value").over(W.partitionBy("trait")), 4).alias("deviation"))
+    means = pheno(spark, d).groupBy("trait").agg(F.avg("value").alias("m"))
+    return pheno(spark, d).join(means, "trait").select("iid", F.round(F.col("value") - F.col("m"), 4).alias("deviation"))
 
 
 @query("a24_carrier_counts", f"with {DOSAGE}, c as (select *, count(*) over (partition by variant) as ac from dosage) select sample, count(*) as carried, count(case when ac <= 8 then 1 end) as rare from c group by 1")
@@ -158,9 +159,11 @@ def a33(spark, d):
 
 @query("a34_dedup_ceiling", f"with {PHENO}, v as (select trait, grp, value, avg(value) over (partition by trait) as m, avg(value) over (partition by trait, grp) as g from pheno where value is not null) select trait, round(1 - sum((value - g) * (value - g)) / nullif(sum((value - m) * (value - m)), 0), 6) as ceiling from v group by 1")
 def a34(spark, d):
-    v = pheno(spark, d).where("value is not null").withColumns({"m": F.avg("value").over(W.partitionBy("trait")), "g": F.avg("value").over(W.partitionBy("trait", "grp"))})
-    ss = lambda c: F.sum(F.pow(F.col("value") - F.col(c), 2))
-    return v.groupBy("trait").agg(r6(1 - ss("g") / F.nullif(ss("m"), F.lit(0.0))).alias("ceiling"))
+    # within and between sums of squares, from one row a group
+    g = pheno(spark, d).where("value is not null").groupBy("trait", "grp").agg(one().alias("n"), F.avg("value").alias("g"), F.var_pop("value").alias("v"))
+    t = g.groupBy("trait").agg((F.sum(F.col("n") * F.col("g")) / F.sum("n")).alias("m"))
+    within, between = F.sum(F.col("n") * F.col("v")), F.sum(F.col("n") * F.pow(F.col("g") - F.col("m"), 2))
+    return g.join(t, "trait").groupBy("trait").agg(r6(1 - within / F.nullif(within + between, F.lit(0.0))).alias("ceiling"))
 
 
 @query("w14_ordinal_ranks", f"with {PHENO} select iid, row_number() over (partition by trait order by value, iid) as ordinal from pheno where value is not null")
@@ -175,12 +178,12 @@ def w15(spark, d):
 
 @query("w16_zscore", f"with {PHENO} select iid, round(case when count(value) over (partition by trait) >= 2 then (value - avg(value) over (partition by trait)) / coalesce(nullif(stddev_pop(value) over (partition by trait), 0), 1) end, 6) as z from pheno")
 def w16(spark, d):
-    return pheno(spark, d).select("iid", r6(zscore_population("value", ["trait"])).alias("z"))
+    return with_zscore(pheno(spark, d), "value", ["trait"]).select("iid", r6(F.col("z")).alias("z"))
 
 
 @query("w17_train_zscore", f"with {PHENO}, s as (select trait, avg(value) as m, stddev_samp(value) as sd from pheno where iid % 3 <> 0 group by 1) select iid, round(case when sd > 0.001 then (value - m) / sd end, 6) as z from pheno left join s using (trait)")
 def w17(spark, d):
-    return pheno(spark, d).select("iid", r6(zscore_train("value", F.col("iid") % 3 != 0, ["trait"])).alias("z"))
+    return with_train_zscore(pheno(spark, d), "value", F.col("iid") % 3 != 0, ["trait"]).select("iid", r6(F.col("z")).alias("z"))
 
 
 @query("w7_density", "with s as (select distinct l_linenumber as chrom, l_partkey as pos from lineitem) select chrom, pos, count(*) over (partition by chrom order by pos range between 100 preceding and 100 following) as near from s")

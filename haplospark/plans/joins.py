@@ -7,7 +7,7 @@ from pyspark.sql.window import Window as W
 
 from haplospark.functions import seq
 from haplospark.operators.interval import point_in_interval
-from haplospark.operators.sampling import split_ids, stratified
+from haplospark.operators.sampling import numbered, split_ids, stratified
 from haplospark.operators.windows import greedy_windows
 from haplospark.plans.base import PHENO, SITES, pheno, sites
 from haplospark.plans.registry import query, table
@@ -97,7 +97,7 @@ def _haplotypes(spark, d):
     count of carriers whose number equals their rank.
     """
     li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("sample"), F.expr("l_partkey div 25").alias("window_id"), F.col("l_partkey").alias("pos"), "l_returnflag")
-    ords = li.select("sample").distinct().withColumn("ord", (F.row_number().over(W.orderBy("sample")) - 1).cast("long"))  # one row a sample
+    ords = numbered(li, "sample")
     total = ords.agg(one().alias("samples"))  # one row
     alts = li.where("l_returnflag = 'R'").groupBy("sample", "window_id").agg(F.array_join(F.array_sort(F.collect_set("pos")), ",").alias("alts"))
     carriers = alts.join(ords, "sample").withColumn("rank", F.row_number().over(W.partitionBy("window_id").orderBy("ord")) - 1)
@@ -194,8 +194,7 @@ def f10(spark, d):
 @query("a35_kmer_entropy", "with p as (select text, unnest(range(0, length(text) // 6)) as i from documents), k as (select substr(text, i * 6 + 1, 6) as kmer from p), c as (select kmer, count(*) as n from k group by 1) select round(-sum(n * 1.0 / t * ln(n * 1.0 / t)), 4) as entropy, sum(n)::bigint as kmers, count(*) as distinct_kmers from c, (select sum(n) as t from c)")
 def a35(spark, d):
     docs = table(spark, d, "documents").where("length(text) >= 6")
-    starts = F.sequence(F.lit(1), F.length("text") - 5, F.lit(6))
-    c = docs.select(F.explode(F.transform(starts, lambda i: F.substring("text", i, F.lit(6)))).alias("kmer")).groupBy("kmer").agg(one().alias("n"))
+    c = docs.select(F.explode(seq.kmers(F.col("text"), 6, 6)).alias("kmer")).groupBy("kmer").agg(one().alias("n"))
     # -sum(p ln p) = ln t - sum(n ln n) / t, so one pass of sums will do
     n = F.col("n")
     return c.agg(F.round(F.log(F.sum(n)) - F.sum(n * F.log(n)) / F.sum(n), 4).alias("entropy"), F.sum(n).alias("kmers"), one().alias("distinct_kmers"))
