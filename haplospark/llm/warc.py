@@ -28,7 +28,7 @@ OPEN, CLOSE = "\ufdd0", "\ufdd1"
 #: The date of sources that have none.
 EPOCH = "1970-01-01T00:00:00Z"
 #: Elements whose content is not text, elements that end a line, and character references.
-DROPPED = ("script", "style", "head", "noscript", "template", "svg")
+DROPPED = "script|style|noscript|template|svg"  # and head
 BREAKING = "p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|blockquote|pre|hr"
 #: The named references of HTML 4, and the numbers that HTML reads as Windows-1252; a fixed space is a space.
 NAMED = {**{name: chr(n) for name, n in name2codepoint.items()}, "apos": "'", "nbsp": " "}
@@ -77,12 +77,11 @@ def plain_text(html: Column) -> Column:
     What is opened and never closed reaches to the page's end (a head: to the body), so
     every pattern passes over a page once, however many openings it has.
     """
-    out = F.regexp_replace(F.translate(html, OPEN + CLOSE, ""), r"(?s)<!--.*?(?:-->|\z)", " ")
-    for name in DROPPED:
-        body = r"|(?=<body[\s/>])" if name == "head" else ""
-        out = F.regexp_replace(out, rf"(?is)<{name}(?=[\s/>]).*?(?:</{name}\s*>{body}|\z)", " ")
+    out = F.replace(F.replace(html, F.lit(OPEN), F.lit("")), F.lit(CLOSE), F.lit(""))
+    out = F.regexp_replace(out, rf"(?is)<(?:!--.*?(?:-->|\z)|({DROPPED})(?=[\s/>]).*?(?:</\1\s*>|\z))", " ")
+    out = F.regexp_replace(out, r"(?is)<head(?=[\s/>]).*?(?:</head\s*>|(?=<body[\s/>])|\z)", " ")
     out = F.regexp_replace(out, rf"(?i)</?(?:({BREAKING})(?=[\s/>])|[A-Z!])[^>]*(?:>|\z)", f"{OPEN}$1{CLOSE}")
-    out = F.translate(F.regexp_replace(out, f"{OPEN}[A-Za-z0-9]+{CLOSE}", "\n"), OPEN + CLOSE, "")
+    out = F.replace(F.regexp_replace(out, f"{OPEN}[A-Za-z0-9]+{CLOSE}", "\n"), F.lit(OPEN + CLOSE), F.lit(""))
     out = resolved(out)
     out = F.regexp_replace(out, r"[ \t\r\f\x0b]+", " ")
     out = F.regexp_replace(out, r" ?\n[ \n]*", "\n")

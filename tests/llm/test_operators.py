@@ -577,21 +577,22 @@ def test_plain_text_keeps_all_visible_text(spark):
 
 def plain_page(html):
     """What plain_text() gives, cut by hand."""
-    def drop(text, opening, closing, other=None):
-        out, at = [], 0
-        low, skip = text.lower(), 4 if opening == "<!--" else 1
-        while (i := next((m.start() for m in re.finditer(opening, low[at:], re.S)), -1)) >= 0:
-            out.append(text[at : at + i] + " ")
-            ends = [m for m in (re.search(c, low[at + i + skip :], re.S) for c in (closing, other) if c) if m]
-            if not ends:
-                return "".join(out)
-            end = min(ends, key=lambda m: m.start())
-            at += i + skip + (end.end() if end.re.pattern == closing else end.start())
-        return "".join(out) + text[at:]
-
-    text = drop(html, "<!--", "-->")
-    for name in warc.DROPPED:
-        text = drop(text, rf"<{name}[\s/>]", rf"</{name}\s*>", r"<body[\s/>]" if name == "head" else None)
+    def drop(text, names):
+        out, at, low = [], 0, text.lower()
+        while at < len(text):
+            name = next((n for n in names if low.startswith("<" + n, at) and (n == "!--" or low[at + 1 + len(n) : at + 2 + len(n)] in set(" \t\n\r\f\v/>"))), None)
+            if name is None:
+                out.append(text[at])
+                at += 1
+                continue
+            out.append(" ")
+            inside = at + 1 + len(name)
+            end = re.compile("-->" if name == "!--" else rf"</{name}\s*>").search(low, inside)
+            body = re.compile(r"<body[\s/>]").search(low, inside) if name == "head" else None
+            at = min(end.end() if end else len(text), body.start() if body else len(text))
+        return "".join(out)
+
+    text = drop(drop(html, ["!--", *warc.DROPPED.split("|")]), ["head"])
     out, at = [], 0
     while at < len(text):
         tag = re.compile(r"</?([A-Za-z!][^\s/>]*)").match(text, at)
