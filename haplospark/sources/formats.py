@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from haplospark.functions.seq import IUPAC
 
@@ -19,6 +20,14 @@ def _header(spark: SparkSession, path: str, prefix: str) -> list[str]:
     return row["value"].rstrip("\r").split("\t")
 
 
+def _per_sample(fields: Column, skip: int, names: list[str], wanted: list[int] | None = None) -> Column:
+    """array<struct<sample_id, sample_ord, gt>> of a line's fields after the leading ones: one expression, however many samples."""
+    calls = F.transform(F.slice(fields, skip + 1, len(names)), lambda x, i: F.struct(F.get(F.lit(names), i).alias("sample_id"), i.alias("sample_ord"), x.alias("gt")))
+    if wanted is None or len(wanted) == len(names):
+        return calls
+    return F.filter(calls, lambda c: F.array_contains(F.lit(wanted), c["sample_ord"]))
+
+
 def read_variants(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, pos from 0, variant_id, ref, alt) of a VCF or pvar; records without ALT go, the first ALT counts."""
     f = F.split("value", "\t")
@@ -43,18 +52,22 @@ def read_calls(spark: SparkSession, path: str, samples: list[str] | None = None,
     rows = rows.where("alt <> '.'")
     if chroms is not None:
         rows = rows.where(F.col("chrom").isin(chroms))
-    picks = F.array(*[F.struct(F.lit(names[i]).alias("sample_id"), F.lit(i).alias("sample_ord"), F.substring_index(F.col("f")[FIXED + i], ":", 1).alias("gt")) for i in wanted])
+    picks = F.transform(_per_sample(F.col("f"), FIXED, names, wanted), lambda c: c.withField("gt", F.substring_index(c["gt"], ":", 1)))
     return rows.select("chrom", "pos", "ref", "alt", F.explode(picks).alias("c")).select(
         "chrom", "pos", "ref", "alt", "c.sample_id", "c.sample_ord", F.when(~F.col("c.gt").rlike(r"^\.([/|]\.)?$"), F.col("c.gt")).alias("gt")
     )
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """IIDs of a psam in file order; ids stay strings."""
+    """IIDs of a psam in file order, numbered from 0; ids stay strings. Lines are counted by split, and only a row a split is summed up."""
     names = [n.lstrip("#") for n in _header(spark, path, "#")]
     field = F.split("value", "\t")[names.index("IID")]
     lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != ""))
-    return lines.select(field.alias("iid"), F.monotonically_increasing_id().alias("sample_ord"))
+    keyed = lines.select(field.alias("iid"), F.monotonically_increasing_id().alias("line")).withColumn("split", F.shiftright("line", 33))
+    sizes = keyed.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("split", F.coalesce(F.sum("n").over(W.orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    rank = F.row_number().over(W.partitionBy("split").orderBy("line")) - 1
+    return keyed.join(F.broadcast(starts), "split").select("iid", (F.col("start") + rank).cast("long").alias("sample_ord"))
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -90,7 +103,8 @@ def read_hapmap(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, pos from 0, variant_id, ref, alt, sample_id, sample_ord, gt) of a hapmap table, one row a call.
 
     The first of the two alleles is the reference; a base that is neither allele, nor
-    the het code of both, is a missing call.
+    the het code of both, is a missing call. Records whose alleles are not two different
+    bases of A, C, G and T go.
     """
     names = _header(spark, path, "rs#")[HAPMAP_FIXED:]
     f = F.split("value", "\t")
@@ -98,8 +112,9 @@ def read_hapmap(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_replace(f[2], "(?i)^chr", "").alias("chrom"), (f[3].cast("long") - 1).alias("pos"), f[0].alias("variant_id"),
         F.split_part(f[1], F.lit("/"), F.lit(1)).alias("ref"), F.split_part(f[1], F.lit("/"), F.lit(2)).alias("alt"), f.alias("f"),
     )
-    picks = F.array(*[F.struct(F.lit(n).alias("sample_id"), F.lit(i).alias("sample_ord"), F.upper(F.trim(F.col("f")[HAPMAP_FIXED + i])).alias("base")) for i, n in enumerate(names)])
-    calls = rows.select("chrom", "pos", "variant_id", "ref", "alt", F.explode(picks).alias("c")).select("chrom", "pos", "variant_id", "ref", "alt", "c.*")
+    rows = rows.where("ref <> alt and ref in ('A', 'C', 'G', 'T') and alt in ('A', 'C', 'G', 'T')")
+    calls = rows.select("chrom", "pos", "variant_id", "ref", "alt", F.explode(_per_sample(F.col("f"), HAPMAP_FIXED, names)).alias("c"))
+    calls = calls.select("chrom", "pos", "variant_id", "ref", "alt", "c.sample_id", "c.sample_ord", F.upper(F.trim("c.gt")).alias("base"))
     codes = F.create_map(*[F.lit(x) for pair in IUPAC.items() for x in pair])
     both = F.try_element_at(codes, F.col("base"))
     het = (both == F.concat_ws("/", "ref", "alt")) | (both == F.concat_ws("/", "alt", "ref"))
@@ -127,8 +142,15 @@ def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def write_vcf(calls: DataFrame, path: str, samples: list[str]) -> None:
     """calls(chrom, pos from 0, variant_id, ref, alt, sample_id, gt) as sorted VCF text parts; the header leads the first."""
     head = "\n".join(["##fileformat=VCFv4.2", "\t".join("#CHROM POS ID REF ALT QUAL FILTER INFO FORMAT".split() + samples)])
-    by = {s: F.coalesce(F.max(F.when(F.col("sample_id") == s, F.col("gt"))), F.lit("./.")) for s in samples}
-    wide = calls.groupBy("chrom", "pos", "variant_id", "ref", "alt").agg(F.concat_ws("\t", *by.values()).alias("g"))
+    one_each = calls.groupBy("chrom", "pos", "variant_id", "ref", "alt", "sample_id").agg(F.max("gt").alias("gt"))
+    by_ord = one_each.join(F.broadcast(calls.sparkSession.createDataFrame(list(enumerate(samples)), "ord int, sample_id string")), "sample_id")
+    cells = F.array_sort(F.collect_list(F.struct("ord", F.coalesce("gt", F.lit("./.")).alias("gt"))))
+    wide = by_ord.groupBy("chrom", "pos", "variant_id", "ref", "alt").agg(cells.alias("cells"))
+    # between two samples that have a call stand as many missing ones as their numbers lie apart
+    ends = F.transform("cells", lambda c, i: F.struct((c["ord"] - F.when(i > 0, F.get("cells", i - 1)["ord"]).otherwise(-1) - 1).alias("gap"), c["gt"].alias("gt")))
+    filled = F.flatten(F.transform(ends, lambda c: F.concat(F.array_repeat(F.lit("./."), c["gap"]), F.array(c["gt"]))))
+    tail = F.array_repeat(F.lit("./."), F.lit(len(samples)) - 1 - F.element_at("cells", -1)["ord"])
+    wide = wide.select("chrom", "pos", "variant_id", "ref", "alt", F.array_join(F.concat(filled, tail), "\t").alias("g"))
     line = F.concat_ws("\t", "chrom", (F.col("pos") + 1).cast("string"), "variant_id", "ref", "alt", F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), "g")
     rows = wide.select(F.lit(1).alias("body"), "chrom", "pos", line.alias("value"))
     first = calls.sparkSession.createDataFrame([(0, None, None, head)], rows.schema)
@@ -150,8 +172,15 @@ def read_dart(spark: SparkSession, path: str, meta: int) -> DataFrame:
             columns.setdefault(name, i)
     f = F.split(F.regexp_replace("value", "\r$", ""), ",", -1)
     rows = spark.read.text(path).select(f.alias("f")).where("get(f, 2) rlike '^[ACGTNacgtn]+$'")
-    calls = [F.struct(F.lit(n).alias("sample_id"), F.get("f", F.lit(i)).alias("call")) for n, i in columns.items()]
+    kept = F.arrays_zip(F.lit(list(columns) or [""]).alias("sample_id"), F.lit(list(columns.values()) or [-1]).alias("at"))
+    calls = F.transform(F.filter(kept, lambda c: c["at"] >= 0), lambda c: F.struct(c["sample_id"].alias("sample_id"), F.get("f", c["at"]).alias("call")))
     fields = ("allele_id", "clone_id", "seq", "snp", "snp_pos")
-    flat = rows.select(*[F.get("f", F.lit(i)).alias(k) for i, k in enumerate(fields)], F.explode(F.array(*calls) if calls else F.expr("cast(array() as array<struct<sample_id string, call string>>)")).alias("c"))
+    flat = rows.select(*[F.get("f", F.lit(i)).alias(k) for i, k in enumerate(fields)], F.explode(calls).alias("c"))
     known = F.when(F.trim("c.call").rlike("^[0-9]+$"), F.trim("c.call"))
     return flat.select(*fields[:4], F.expr("try_cast(snp_pos as int)").alias("snp_pos"), "c.sample_id", known.alias("call"))
+
+
+def remap_calls(calls: DataFrame, coordinates: DataFrame, drop_unmapped: bool = True) -> DataFrame:
+    """calls under the positions of coordinates(chrom, pos, new_pos); what has none goes, or keeps its own."""
+    out = calls.join(coordinates, ["chrom", "pos"], "inner" if drop_unmapped else "left")
+    return out.withColumn("pos", F.coalesce("new_pos", "pos")).drop("new_pos")
