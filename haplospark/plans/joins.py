@@ -27,7 +27,13 @@ def w1(spark, d):
     return greedy_windows(sites(spark, d), 25)
 
 
-@query("w2_overlap_windows", None)
+CENTRED = """win as (
+  select chrom, min(pos) as p from sites group by 1
+  union all
+  select chrom, p from (select w.chrom, min(s.pos) as p from win w join sites s on s.chrom = w.chrom and s.pos > w.p + 20 group by w.chrom, w.p) n)"""
+
+
+@query("w2_overlap_windows", f'with recursive {SITES.replace("as (", "as materialized (")}, {CENTRED} select w.chrom, cast(w.p - 25 as bigint) as start, cast(w.p + 25 as bigint) as "end", count(*) as n_sites from win w join sites s on s.chrom = w.chrom and s.pos between w.p and w.p + 20 group by 1, 2, 3')
 def w2(spark, d):
     return greedy_windows(sites(spark, d), 25, "overlap", 5)
 

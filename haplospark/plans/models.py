@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from haplospark.functions import seq
-from haplospark.operators import linear
+from haplospark.operators import kernel, linear
+from haplospark.operators.kinship import gram_blocks, standardised
 from haplospark.plans.registry import query, table
 from haplospark.plans.variants import PAIRS, one, pairs, r6
 
@@ -158,3 +160,32 @@ def m12(spark, d):
     at = F.array(*[seq.dot(F.col("c"), literal(axis)) for axis in axes])
     left = F.pow(seq.norm(F.col("c")), 2) - F.pow(seq.norm(at), 2)
     return moved.select("vec_id", r6(seq.norm(F.col("v"))).alias("before"), r6(F.sqrt(F.greatest(left, F.lit(0.0)))).alias("after"))
+
+
+def _nations(spark, d):
+    """Nations as samples (25 at every scale): their ids, their kinship over parts, and the mean quantity by line and ship mode as traits."""
+    home = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("sample"))
+    rows = table(spark, d, "lineitem").join(home, "l_suppkey")
+    calls = rows.groupBy("sample", F.col("l_partkey").alias("variant")).agg(F.least(one(), F.lit(2)).alias("dosage"))
+    ids = [r[0] for r in table(spark, d, "nation").select(F.col("n_nationkey").cast("long")).distinct().sort("n_nationkey").collect()]
+    z = standardised(calls, calls.agg(F.count_distinct("sample").alias("n"))).where("z <> 0")
+    p = z.agg(F.count_distinct("variant").alias("p"))  # one row
+    k = kernel.matrix(gram_blocks(z).join(F.broadcast(p)).select("i", "j", (F.col("k") / F.col("p")).alias("k")), ids)
+    values = rows.groupBy(F.concat_ws("-", "l_linenumber", "l_shipmode").alias("trait"), "sample").agg(F.avg("l_quantity").alias("value"))
+    held = np.array(ids) % 4 == 0
+    return kernel.target_vectors(values, ids), k, np.flatnonzero(~held), np.flatnonzero(held)
+
+
+@query("m5_kinship_blup", None)
+def m5(spark, d):
+    """Kinship BLUP of each trait, its penalty by leave-one-out, and the error on the held-out samples."""
+    found = kernel.blup(*_nations(spark, d))
+    gap = F.zip_with("y", "predicted", lambda a, b: (a - b) * (a - b))
+    return found.select("trait", r6("penalty").alias("penalty"), r6("loo").alias("loo"), r6(seq.norm(F.transform(gap, F.sqrt))).alias("error"))
+
+
+@query("m9_pooled_blup", None)
+def m9(spark, d):
+    """Held-out correlation and R2 of the kinship model over all traits, for each penalty."""
+    found = kernel.pooled_blup(*_nations(spark, d), [0.1, 0.3, 1.0, 3.0, 10.0])
+    return found.select("penalty", "n", r6("pearson").alias("pearson"), r6("r2").alias("r2"))
