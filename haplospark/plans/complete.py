@@ -72,10 +72,10 @@ def a18_alt(spark, d):
 @query("a22_control_deviation", f"with {PHENO}, m as (select trait, grp, case when count(value) filter (where iid % 2 = 0) >= 10 then avg(value) filter (where iid % 2 = 0) else avg(value) end as m from pheno group by 1, 2) select iid, round(value - m, 4) as deviation from pheno join m using (trait, grp)")
 def a22_control(spark, d):
     """Deviation from the mean of the group's controls, or of the whole group where it has fewer than 10."""
-    exact = F.col("value").cast("decimal(24,6)")  # a mean and a rounding that no order of rows moves
-    p, control = pheno(spark, d).withColumn("value", exact), F.when(F.col("iid") % 2 == 0, F.col("value"))
+    p, control = pheno(spark, d), F.when(F.col("iid") % 2 == 0, F.col("value"))
     m = p.groupBy("trait", "grp").agg(F.when(F.count(control) >= 10, F.avg(control)).otherwise(F.avg("value")).alias("m"))
-    return p.join(m, ["trait", "grp"]).select("iid", F.round(F.col("value") - F.col("m"), 4).cast("double").alias("deviation"))
+    deviation = F.round((F.col("value") - F.col("m")) * 10000) / 10000  # ties are those of the scaled value
+    return p.join(m, ["trait", "grp"]).select("iid", deviation.alias("deviation"))
 
 
 @query("a23_singleton_controls", f"with {DOSAGE}, a as (select variant, count(*) as ac from dosage group by 1), s as (select sample, count(*) filter (where ac <= 20) as n from dosage join a using (variant) group by 1), m as (select quantile_cont(n, 0.5) as med from s where n > 0) select sample, n, n < med / 10 as control from s, m")

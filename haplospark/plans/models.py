@@ -163,15 +163,15 @@ def m12(spark, d):
 
 
 def _nations(spark, d):
-    """Nations as samples (25 at every scale): their ids, their kinship over parts, and the mean quantity by line and ship mode as traits."""
+    """Suppliers' nations as samples (25 at most, at every scale): their ids, their kinship over parts, and the mean quantity by line and return flag as traits."""
     home = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("sample"))
     rows = table(spark, d, "lineitem").join(home, "l_suppkey")
     calls = rows.groupBy("sample", F.col("l_partkey").alias("variant")).agg(F.least(one(), F.lit(2)).alias("dosage"))
-    ids = [r[0] for r in table(spark, d, "nation").select(F.col("n_nationkey").cast("long")).distinct().sort("n_nationkey").collect()]
+    ids = sorted(r[0] for r in home.where("sample is not null").select("sample").distinct().collect())  # nations
     z = standardised(calls, calls.agg(F.count_distinct("sample").alias("n"))).where("z <> 0")
     p = z.agg(F.count_distinct("variant").alias("p"))  # one row
     k = kernel.matrix(gram_blocks(z).join(F.broadcast(p)).select("i", "j", (F.col("k") / F.col("p")).alias("k")), ids)
-    values = rows.groupBy(F.concat_ws("-", "l_linenumber", "l_shipmode").alias("trait"), "sample").agg(F.avg("l_quantity").alias("value"))
+    values = rows.groupBy(F.concat_ws("-", "l_linenumber", "l_returnflag").alias("trait"), "sample").agg(F.avg("l_quantity").alias("value"))
     held = np.array(ids) % 4 == 0
     return kernel.target_vectors(values, ids), k, np.flatnonzero(~held), np.flatnonzero(held)
 
