@@ -1,3 +1,13 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+OP11 = """with d as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as s from documents),
+ h as (select doc_id, t, length(t) as n, cast('0x' || s[1:8] as ubigint) as h1, cast('0x' || s[9:16] as ubigint) as h2,
+   cast('0x' || s[17:24] as ubigint) % 100 as h3, cast('0x' || s[25:32] as ubigint) % 100 as h4 from d),
+ c as (select doc_id, t, n, cast(least(h1 % (n + 1), h2 % (n + 1)) as bigint) as a, cast(greatest(h1 % (n + 1), h2 % (n + 1)) as bigint) as b,
+   case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 >= 90 then 'plain' when h4 < 20 then 'spm' else 'psm' end as form from h),
+ p as (select *, substr(t, 1, a) as x, substr(t, a + 1, b - a) as m, substr(t, b + 1, n - b) as z from c)
+ select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+   sha256(case form when 'plain' then t when 'psm' then '<P>' || x || '<S>' || z || '<M>' || m else '<S>' || z || '<P>' || x || '<M>' || m end) as output_sha256,
+   sha256(t) as restored_sha256 from p"""
+
+ORACLES: dict[str, str] = {"op11_fill_in_middle": OP11}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haplospark.llm import bpe, langid, license_scan, mixing, quality, simhash, spotsigs, suffix, warc
+from haplospark.llm import bpe, fim, langid, license_scan, mixing, quality, simhash, spotsigs, suffix, warc
 from haplospark.llm.oracles import ORACLES
 
 import public_tokenizers
@@ -64,10 +64,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_documents(spark, sf_dir)).drop("n_detections")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_byte_bpe, op2_simhash, op3_token_counts, op4_quality_rules, op5_language_id,
         op6_suffix_dedup, op7_source_mix, op8_spotsigs, op9_warc, op10_license_scan,
+        op11_fill_in_middle,
     )
     return {f.__name__: f for f in own}
 
