@@ -26,4 +26,13 @@ OP12 = """with recursive crc as (select list(list_reduce(list_prepend(i, [cast(0
  ends as (select walk.word, walk.at as root from walk join f on f.word = walk.at where f.form is null)
  select f.word, form, coalesce(root, f.word) as root, n, n_near, form_n from f left join ends on ends.word = f.word"""
 
-ORACLES: dict[str, str] = {"op11_fill_in_middle": OP11, "op12_spelling_variants": OP12}
+OP13 = """with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+ s as (select doc_id, case when len(w) = 0 then [] else list_distinct([array_to_string(w[i:i + 2], ' ') for i in range(1, greatest(len(w) - 1, 2))]) end as s from w),
+ n as (select doc_id, len(s) as n from s), e as (select doc_id, n, unnest(s) as x from s join n using (doc_id)),
+ p as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as k from e a join e b on a.x = b.x and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by 1, 2, 3, 4),
+ l as (select a, b from p where 100 * k >= 85 * (na + nb - k)), d as (select a, b from l union all select b, a from l),
+ r as (select doc_id as node, doc_id as c from n union select d.b, r.c from r join d on d.a = r.node),
+ m as (select node as doc_id, min(c) as component_id from r group by 1)
+ select doc_id, n as n_shingles, component_id, doc_id = component_id as kept from n join m using (doc_id)"""
+
+ORACLES: dict[str, str] = {"op11_fill_in_middle": OP11, "op12_spelling_variants": OP12, "op13_minhash": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haplospark.llm import bpe, fim, langid, license_scan, mixing, quality, simhash, spelling, spotsigs, suffix, warc
+from haplospark.llm import bpe, fim, langid, license_scan, minhash, mixing, quality, simhash, spelling, spotsigs, suffix, warc
 from haplospark.llm.oracles import ORACLES
 
 import public_tokenizers
@@ -72,11 +72,15 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_documents(spark, sf_dir))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir), shingle=3, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_byte_bpe, op2_simhash, op3_token_counts, op4_quality_rules, op5_language_id,
         op6_suffix_dedup, op7_source_mix, op8_spotsigs, op9_warc, op10_license_scan,
-        op11_fill_in_middle, op12_spelling_variants,
+        op11_fill_in_middle, op12_spelling_variants, op13_minhash,
     )
     return {f.__name__: f for f in own}
 
