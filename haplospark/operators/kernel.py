@@ -1,13 +1,14 @@
-"""Kernel models over samples: ridge on a kinship matrix for many traits at once.
+"""Kernel models over samples: ridge on a kinship matrix for any number of traits.
 
 The matrix over samples is a model's size, not the data's: it is taken only up to
-MAX_SAMPLES and refused beyond, where linear.gram on the variants' leading axes fits the
-same model. The traits, of which there may be any number, stay distributed.
+MAX_SAMPLES and refused beyond, where svd.project on the variants fits the same model. It
+comes as summed tiles (see gram.py). The traits, of which there may be any number, stay
+distributed: a task takes blocks of them, and solves the system of a penalty once a block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,53 +17,76 @@ from pyspark.sql import functions as F
 
 #: Samples of a matrix that tasks share (8 bytes a pair: 64 MB).
 MAX_SAMPLES = 2896
+#: Cells of target vectors that a task holds at once.
+BLOCK_CELLS = 4 << 20
 #: The penalties among which leave-one-out chooses.
 PENALTIES = np.logspace(-2, 3, 30)
 
 
-def matrix(pairs: DataFrame, ids: list[int]) -> np.ndarray:
-    """The symmetric matrix of pairs(i, j, k) over ids, in their order; a pair without a row is 0."""
-    if len(ids) > MAX_SAMPLES:
-        raise ValueError(f"{len(ids)} samples; a shared matrix holds {MAX_SAMPLES} at most")
-    place = {x: n for n, x in enumerate(ids)}
-    out = np.zeros((len(ids), len(ids)))
-    for i, j, k in pairs.select("i", "j", "k").toLocalIterator():
-        if i in place and j in place:
-            out[place[i], place[j]] = out[place[j], place[i]] = k
-    return out
+def check_samples(n: int) -> None:
+    if n > MAX_SAMPLES:
+        raise ValueError(f"{n} samples; a shared matrix holds {MAX_SAMPLES} at most")
 
 
 def target_vectors(values: DataFrame, ids: list[int]) -> DataFrame:
     """(trait, y array<double>) of values(trait, sample, value) in the order of ids; traits that lack a sample are left out."""
-    order = values.sparkSession.createDataFrame([(x, n) for n, x in enumerate(ids)], "sample long, ord int")
+    order = values.sparkSession.createDataFrame([(x, n) for n, x in enumerate(ids)], f"sample {dict(values.dtypes)['sample']}, ord int")
     known = values.where("value is not null").join(F.broadcast(order), "sample")
     cells = known.groupBy("trait").agg(F.sort_array(F.collect_list(F.struct("ord", F.col("value").cast("double").alias("v")))).alias("c"))  # a row a sample
     return cells.where(F.size("c") == len(ids)).select("trait", F.col("c.v").alias("y"))
 
 
-def loo_errors(k: np.ndarray, y: np.ndarray, penalties: np.ndarray = PENALTIES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(best penalty, its leave-one-out error, weights) for each row of y, by the closed form on k's eigenvectors."""
-    values, axes = np.linalg.eigh(k)
-    values = np.maximum(values, 0)
-    turned = y @ axes
-    errors = np.empty((len(penalties), len(y)))
-    for n, penalty in enumerate(penalties):
-        d = values / (values + penalty)
-        left = (y - (turned * d) @ axes.T) / (1 - (axes**2 * d).sum(1))
-        errors[n] = (left**2).mean(1)
-    best = errors.argmin(0)
-    chosen = penalties[best]
-    weights = (turned / (values + chosen[:, None])) @ axes.T
-    return chosen, errors.min(0), weights
+class System:
+    """The kernel system of one penalty, inverted once for all targets.
+
+    With P the inverse of kernel + penalty, a target y has the weights P y, and what its
+    prediction of a sample would miss without that sample is the weight over P's diagonal.
+    """
+
+    def __init__(self, kernel: np.ndarray, penalty: float):
+        self.inverse = np.linalg.inv(kernel + penalty * np.eye(len(kernel)))
+        self.own = np.diag(self.inverse)
+
+    def weights(self, targets: np.ndarray) -> np.ndarray:
+        return targets @ self.inverse
+
+    def left_out(self, weights: np.ndarray) -> np.ndarray:
+        """Mean squared error of each target, every sample predicted from the others."""
+        return np.mean((weights / self.own) ** 2, axis=-1)
 
 
-def _blocks(vectors: DataFrame, schema: str, fn) -> DataFrame:
-    """fn(traits, y as a matrix) over the batches of target vectors."""
+def choose_penalty(kernel: np.ndarray, targets: np.ndarray, penalties: np.ndarray = PENALTIES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(penalty, leave-one-out error, weights) for each row of targets; of equal errors the first penalty wins."""
+    penalty, least, weights = (np.zeros(len(targets)), np.full(len(targets), np.inf), np.zeros_like(targets))
+    for p in penalties:
+        system = System(kernel, p)
+        w = system.weights(targets)
+        error = system.left_out(w)
+        better = error < least
+        penalty[better], least[better], weights[better] = p, error[better], w[better]
+    return penalty, least, weights
+
+
+def _blocks(vectors: DataFrame, schema: str, fn: Callable[[pa.Array, np.ndarray], pa.RecordBatch]) -> DataFrame:
+    """fn(traits, y as a matrix) over blocks of target vectors of up to BLOCK_CELLS cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, cells = [], 0
+
+        def close() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            return fn(table.column(0).combine_chunks(), np.array(table.column(1).to_pylist(), dtype=np.float64))
+
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch.column(0), np.array(batch.column(1).to_pylist(), dtype=np.float64))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                held.append(part)
+                cells += len(part.column(1).flatten())
+                if cells >= BLOCK_CELLS:
+                    yield close()
+                    held, cells = [], 0
+        if held:
+            yield close()
 
     return vectors.select("trait", "y").mapInArrow(run, schema)
 
@@ -73,44 +97,72 @@ def blup(vectors: DataFrame, k: np.ndarray, train: np.ndarray, held: np.ndarray,
     train and held are places in k; y and predicted are those of the held-out samples, in order.
     A trait's mean over its training samples is taken away first and added back.
     """
-    inner, cross = k[np.ix_(train, train)], k[np.ix_(train, held)]
+    check_samples(len(k))
+    shared = vectors.sparkSession.sparkContext.broadcast((k[np.ix_(train, train)], k[np.ix_(train, held)]))
     name = dict(vectors.dtypes)["trait"]
 
     def fit(traits: pa.Array, y: np.ndarray) -> pa.RecordBatch:
+        inner, cross = shared.value
         mean = y[:, train].mean(1, keepdims=True)
-        penalty, loo, weights = loo_errors(inner, y[:, train] - mean, penalties)
+        penalty, loo, weights = choose_penalty(inner, y[:, train] - mean, penalties)
         lists = [pa.array(m.tolist(), pa.list_(pa.float64())) for m in (y[:, held], weights @ cross + mean)]
         return pa.RecordBatch.from_arrays([traits, pa.array(penalty), pa.array(loo), *lists], ["trait", "penalty", "loo", "y", "predicted"])
 
     return _blocks(vectors, f"trait {name}, penalty double, loo double, y array<double>, predicted array<double>", fit)
 
 
+_MOMENTS = ("n", "a", "b", "aa", "bb", "ab")
+
+
 def pooled_blup(vectors: DataFrame, k: np.ndarray, train: np.ndarray, held: np.ndarray, penalties: list[float], guard: float = 1e-3) -> DataFrame:
     """(penalty, n, pearson, r2) over all held-out cells of all traits, each trait scaled by its training mean and deviation.
 
-    Traits whose training deviation is at most guard are left out.
+    Traits whose training deviation is at most guard are left out. Only six sums a block
+    and penalty leave a task.
     """
-    inner, cross = k[np.ix_(train, train)], k[np.ix_(held, train)]
-    maps = [cross @ np.linalg.solve(inner + p * np.eye(len(train)), np.eye(len(train))) for p in penalties]
-
-    def sums(traits: pa.Array, y: np.ndarray) -> pa.RecordBatch:
-        mean, sd = y[:, train].mean(1, keepdims=True), y[:, train].std(1, ddof=1, keepdims=True)
-        z = ((y - mean) / np.where(sd > guard, sd, 1.0))[sd[:, 0] > guard]
-        a = z[:, held]
+    check_samples(len(k))
+    shared = vectors.sparkSession.sparkContext.broadcast((k[np.ix_(train, train)], k[np.ix_(train, held)]))
+
+    def sums(_: pa.Array, y: np.ndarray) -> pa.RecordBatch:
+        inner, cross = shared.value
+        spread = y[:, train].std(1, ddof=1)
+        y = y[spread > guard]
+        scaled = (y - y[:, train].mean(1, keepdims=True)) / spread[spread > guard, None]
+        truth = scaled[:, held]
         cells = []
-        for p, m in zip(penalties, maps):
-            b = z[:, train] @ m.T
-            cells.append((float(p), a.size, a.sum(), b.sum(), (a * a).sum(), (b * b).sum(), (a * b).sum()))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*cells)], ["penalty", "n", "a", "b", "aa", "bb", "ab"])
+        for p in penalties:
+            guess = System(inner, p).weights(scaled[:, train]) @ cross
+            cells.append((float(p), truth.size, truth.sum(), guess.sum(), (truth * truth).sum(), (guess * guess).sum(), (truth * guess).sum()))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*cells)], ["penalty", *_MOMENTS])
 
     parts = _blocks(vectors, "penalty double, n long, a double, b double, aa double, bb double, ab double", sums)
-    total = parts.groupBy("penalty").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")]).where("n > 0")
-    a, b, aa, bb, ab, n = (F.col(c) for c in ("a", "b", "aa", "bb", "ab", "n"))
+    total = parts.groupBy("penalty").agg(*[F.sum(c).alias(c) for c in _MOMENTS]).where("n > 0")
+    n, a, b, aa, bb, ab = (F.col(c) for c in _MOMENTS)
     spread = aa - a * a / n
     corr = (ab - a * b / n) / F.sqrt(spread * (bb - b * b / n))
     return total.select("penalty", "n", corr.alias("pearson"), (1 - (aa - 2 * ab + bb) / spread).alias("r2"))
 
 
+def kinship_residual(vectors: DataFrame, k: np.ndarray, train: np.ndarray, penalty: float = 3.0, guard: float = 1e-3) -> DataFrame:
+    """(trait, y): each trait scaled by its training mean and deviation, less what kinship predicts for every sample.
+
+    The prediction is learned from the training samples. Traits whose training deviation is at most guard are left out.
+    """
+    check_samples(len(k))
+    shared = vectors.sparkSession.sparkContext.broadcast((k[np.ix_(train, train)], k[train]))
+    name = dict(vectors.dtypes)["trait"]
+
+    def rest(traits: pa.Array, y: np.ndarray) -> pa.RecordBatch:
+        inner, cross = shared.value
+        spread = y[:, train].std(1, ddof=1)
+        keep = spread > guard
+        scaled = (y[keep] - y[keep][:, train].mean(1, keepdims=True)) / spread[keep, None]
+        left = scaled - System(inner, penalty).weights(scaled[:, train]) @ cross
+        return pa.RecordBatch.from_arrays([traits.filter(pa.array(keep)), pa.array(left.tolist(), pa.list_(pa.float64()))], ["trait", "y"])
+
+    return _blocks(vectors, f"trait {name}, y array<double>", rest)
+
+
 def impute_nearest(vectors: DataFrame, reference: np.ndarray, neighbours: int = 10) -> DataFrame:
     """(trait, y): the missing values of rows filled from the nearest rows of reference that know the value, by their mean.
 

@@ -53,11 +53,9 @@ def test_pooled_blup(spark):
     assert row["r2"] == pytest.approx(1 - ((a - b) ** 2).sum() / ((a - a.mean()) ** 2).sum())
 
 
-def test_matrix_and_vectors(spark):
-    pairs = spark.createDataFrame([(1, 2, 0.5), (1, 1, 2.0), (9, 1, 7.0)], "i long, j long, k double")
-    assert kernel.matrix(pairs, [1, 2]).tolist() == [[2.0, 0.5], [0.5, 0.0]]
+def test_vectors_and_bounds(spark):
     with pytest.raises(ValueError):
-        kernel.matrix(pairs, list(range(kernel.MAX_SAMPLES + 1)))
+        kernel.blup(_vectors(spark, []), np.zeros((kernel.MAX_SAMPLES + 1, 1)), np.arange(1), np.arange(1))
     values = spark.createDataFrame([("a", 2, 5.0), ("a", 1, 4.0), ("b", 1, 1.0), ("c", 1, None), ("c", 2, 1.0), ("a", 9, 1.0)], "trait string, sample long, value double")
     assert [tuple(r) for r in kernel.target_vectors(values, [1, 2]).collect()] == [("a", [4.0, 5.0])]
 
