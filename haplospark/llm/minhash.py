@@ -42,6 +42,8 @@ BINS = 128
 BAND = 4
 #: Sets of a bucket, and shingles of a component, that one task holds; beyond, pairs of chunks are dealt out.
 CHUNK_SETS, CHUNK_SHINGLES = 2048, 1 << 20
+#: Bits of the bitmap by which most texts that no component wants are left out before the shuffle (16 MB at most, at any scale).
+FILTER_BITS = 1 << 27
 _ROUND = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,12 +101,28 @@ def sketches(df: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays(columns, ["id", "row", "digest", "n", "keys", "sign"])
 
     kind = dict(rows.dtypes)["id"]
-    return map_rows(rows, f"id {kind}, row string, digest binary, n long, keys array<long>, sign binary", run)
+    return map_rows(rows, f"id {kind}, row binary, digest binary, n long, keys array<long>, sign binary", run)
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
     """(id, row, text): row is a digest of id and text, by which a text is found again."""
-    return rows.select("id", F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))).alias("row"), "text")
+    digest = F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
+    return rows.select("id", F.unhex(digest).alias("row"), "text")
+
+
+def _wanted(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """texts(row, ...) without most of those that rows(row) lacks.
+
+    A bitmap of hashed rows, of FILTER_BITS at most whatever the table's size, goes to all
+    tasks; a text that only shares a bit stays, and goes in the join that follows.
+    """
+    def bit(row: str):
+        return F.pmod(F.xxhash64(row), F.lit(FILTER_BITS)) + 1
+
+    maps = rows.groupBy(F.bitmap_bucket_number(bit("row")).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit("row"))).alias("bits"))
+    there = F.expr("shiftright(cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as int), cast(place % 8 as int)) & 1 = 1")
+    placed = texts.withColumn("place", F.bitmap_bit_position(bit("row"))).withColumn("of_map", F.bitmap_bucket_number(bit("row")))
+    return placed.join(F.broadcast(maps), (F.col("of_map") == F.col("bucket")) & there, "left_semi").drop("place", "of_map")
 
 
 def _in_chunks(rows: DataFrame, group: str, n_chunks) -> DataFrame:
@@ -214,7 +232,7 @@ def near_duplicates(df: DataFrame, shingle: int = 3, percent: int = 85, id_col:
     placed = weak.join(distinct.select("u", "n", "row"), "u")
     totals = placed.groupBy("group").agg(F.sum("n").alias("total"))
     wanted = materialise(placed.select("u", "group", "row").join(totals, "group"))
-    texts = _keyed(input_columns(df, id=id_col, text=text_col)).join(wanted, "row")
+    texts = _wanted(_keyed(input_columns(df, id=id_col, text=text_col)).select("row", "text"), wanted).join(wanted, "row")
     labels = connected_components(_confirmed(texts, shingle, percent)).toDF("u", "component")
     labelled = distinct.select("u", "digest", "least").join(labels, "u")
     heads = labelled.groupBy("component").agg(F.min("least").alias("head"))
