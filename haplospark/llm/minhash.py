@@ -42,8 +42,8 @@ BINS = 128
 BAND = 4
 #: Sets of a bucket, and shingles of a component, that one task holds; beyond, pairs of chunks are dealt out.
 CHUNK_SETS, CHUNK_SHINGLES = 2048, 1 << 20
-#: Bits of the bitmap by which most texts that no component wants are left out before the shuffle (16 MB at most, at any scale).
-FILTER_BITS = 1 << 27
+#: The bitmap by which most texts that no component wants are left out before the shuffle: bits a wanted row, and the most that it has (16 MB).
+ROW_BITS, FILTER_BITS = 16, 1 << 27
 _ROUND = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,8 +116,10 @@ def _wanted(texts: DataFrame, rows: DataFrame) -> DataFrame:
     A bitmap of hashed rows, of FILTER_BITS at most whatever the table's size, goes to all
     tasks; a text that only shares a bit stays, and goes in the join that follows.
     """
+    bits = min(FILTER_BITS, ROW_BITS * max(rows.count(), 1))
+
     def bit(row: str):
-        return F.pmod(F.xxhash64(row), F.lit(FILTER_BITS)) + 1
+        return F.pmod(F.xxhash64(row), F.lit(bits)) + 1
 
     maps = rows.groupBy(F.bitmap_bucket_number(bit("row")).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit("row"))).alias("bits"))
     there = F.expr("shiftright(cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as int), cast(place % 8 as int)) & 1 = 1")

