@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from haplospark.operators.ranking import row_numbers
+
 
 def draw_key(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"-{seed}")))
@@ -13,8 +15,7 @@ def draw_key(id_col: str, seed: int) -> Column:
 
 def split_ids(ids: DataFrame, id_col: str, seed: int, fractions: dict[str, float], by: list[str] | None = None) -> DataFrame:
     """ids with a column part: the first fractions of the drawn order (rounded half to even), the rest is "train"."""
-    own = W.partitionBy(*(by or [F.lit(0)]))
-    ranked = ids.withColumn("rn", F.row_number().over(own.orderBy(draw_key(id_col, seed), id_col))).withColumn("n", F.count(F.lit(1)).over(own))
+    ranked = row_numbers(ids, by or [], [draw_key(id_col, seed), id_col], "rn", "n")
     part, edge = F.lit("train"), 0.0
     bounds = []
     for name, f in fractions.items():

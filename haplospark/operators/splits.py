@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from haplospark.operators.ranking import row_numbers
 from haplospark.operators.sampling import draw_key
 
 
 def nested_dev(split: DataFrame, id_col: str, part_col: str = "part", fraction: float = 0.1, seed: int = 42) -> DataFrame:
     """split with a column dev: of each part the first max(1, round(n * fraction)) rows in drawn order."""
-    sizes = split.groupBy(part_col).agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * F.lit(fraction))).alias("dev_n"))
-    rank = F.row_number().over(W.partitionBy(part_col).orderBy(draw_key(id_col, seed), id_col))
-    return split.withColumn("dev_rank", rank).join(F.broadcast(sizes), part_col).withColumn("dev", F.col("dev_rank") <= F.col("dev_n")).drop("dev_rank", "dev_n")
+    ranked = row_numbers(split, [part_col], [draw_key(id_col, seed), id_col], "dev_rank", "dev_of")
+    return ranked.withColumn("dev", F.col("dev_rank") <= F.greatest(F.lit(1), F.bround(F.col("dev_of") * F.lit(fraction)))).drop("dev_rank", "dev_of")
 
 
 def resolve(cached: DataFrame, current: DataFrame, id_col: str, require_all: bool = True) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from haplospark.operators.stats import average_rank, masked_metrics, with_train_zscore, with_zscore
+from haplospark.operators.ranking import average_ranks, row_numbers
+from haplospark.operators.stats import masked_metrics, with_train_zscore, with_zscore
+from haplospark.operators.windows import near_counts
 from haplospark.plans.base import ALLC, DOSAGE, PHENO, allc, dosage, pheno
 from haplospark.plans.registry import query, table
 from haplospark.streaming.accumulate import site_accumulators
@@ -168,12 +170,13 @@ def a34(spark, d):
 
 @query("w14_ordinal_ranks", f"with {PHENO} select iid, row_number() over (partition by trait order by value, iid) as ordinal from pheno where value is not null")
 def w14(spark, d):
-    return pheno(spark, d).where("value is not null").select("iid", F.row_number().over(W.partitionBy("trait").orderBy("value", "iid")).alias("ordinal"))
+    return row_numbers(pheno(spark, d).where("value is not null"), ["trait"], ["value", "iid"], "ordinal").select("iid", "ordinal")
 
 
 @query("w15_average_ranks", "select l_orderkey, l_linenumber, rank() over (partition by l_suppkey order by l_quantity) + (count(*) over (partition by l_suppkey, l_quantity) - 1) / 2.0 as rank from lineitem")
 def w15(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", average_rank("l_quantity", ["l_suppkey"]).alias("rank"))
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_suppkey")
+    return average_ranks(items, "l_quantity", ["l_suppkey"]).select("l_orderkey", "l_linenumber", "rank")
 
 
 @query("w16_zscore", f"with {PHENO} select iid, round(case when count(value) over (partition by trait) >= 2 then (value - avg(value) over (partition by trait)) / coalesce(nullif(stddev_pop(value) over (partition by trait), 0), 1) end, 6) as z from pheno")
@@ -189,7 +192,7 @@ def w17(spark, d):
 @query("w7_density", "with s as (select distinct l_linenumber as chrom, l_partkey as pos from lineitem) select chrom, pos, count(*) over (partition by chrom order by pos range between 100 preceding and 100 following) as near from s")
 def w7(spark, d):
     s = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("chrom"), F.col("l_partkey").alias("pos")).distinct()
-    return s.withColumn("near", one().over(W.partitionBy("chrom").orderBy("pos").rangeBetween(-100, 100)))
+    return near_counts(s, 100)
 
 
 @query("w5_upstream_markov", "with c as (select conv_id, turn, length(text) % 2 as allele, lag(length(text) % 2) over (partition by conv_id order by turn) as prev from conversations) select turn, prev, count(*) as n, round((sum(allele) + 0.5) / (count(*) + 1.0), 6) as p from c where prev is not null group by 1, 2")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from haplospark.plans.registry import table
 
 #: (chrom, pos): distinct sites.
-SITES = "sites as (select distinct l_linenumber as chrom, (l_partkey * 37) % 5000 as pos from lineitem)"
+SITES = "sites as (select distinct l_linenumber as chrom, l_partkey * 3 + l_partkey % 5 as pos from lineitem)"
 #: (sample, variant, dosage 0-2).
 DOSAGE = "dosage as (select l_suppkey as sample, l_partkey as variant, least(count(*), 2) as dosage from lineitem group by 1, 2)"
 #: (accession, chrom, site, mc, total, context), one row each.
@@ -19,7 +19,7 @@ PHENO = """pheno as (select c_custkey as iid, c_nationkey as grp, c_mktsegment a
 
 
 def sites(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select(F.col("l_linenumber").alias("chrom"), ((F.col("l_partkey") * 37) % 5000).alias("pos")).distinct()
+    return table(spark, d, "lineitem").select(F.col("l_linenumber").alias("chrom"), (F.col("l_partkey") * 3 + F.col("l_partkey") % 5).alias("pos")).distinct()
 
 
 def dosage(spark: SparkSession, d: str) -> DataFrame:

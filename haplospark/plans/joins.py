@@ -46,10 +46,10 @@ def j3(spark, d):
     return point_in_interval(s, w, ["chrom"], "pos", "start", "stop", "left", 64).select("chrom", "pos", "start")
 
 
-@query("j6_span_counts", f"with {SITES}, g as (select p_partkey as gene, 1 + p_partkey % 7 as chrom, p_partkey % 5000 as lo, p_partkey % 5000 + p_size as hi from part) select g.gene, count(*) as n from g join sites s on s.chrom = g.chrom and s.pos between g.lo - 10 and g.hi + 10 group by 1")
+@query("j6_span_counts", f"with {SITES}, g as (select p_partkey as gene, 1 + p_partkey % 7 as chrom, p_partkey * 3 as lo, p_partkey * 3 + p_size as hi from part) select g.gene, count(*) as n from g join sites s on s.chrom = g.chrom and s.pos between g.lo - 10 and g.hi + 10 group by 1")
 def j6(spark, d):
     key = F.col("p_partkey")
-    g = table(spark, d, "part").select(key.alias("gene"), (1 + key % 7).cast("int").alias("chrom"), (key % 5000 - 10).alias("lo"), (key % 5000 + F.col("p_size") + 10).alias("hi"))
+    g = table(spark, d, "part").select(key.alias("gene"), (1 + key % 7).cast("int").alias("chrom"), (key * 3 - 10).alias("lo"), (key * 3 + F.col("p_size") + 10).alias("hi"))
     return point_in_interval(sites(spark, d), g, ["chrom"], "pos", "lo", "hi", "both", 64).groupBy("gene").agg(one().alias("n"))
 
 

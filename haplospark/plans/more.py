@@ -7,6 +7,8 @@ from pyspark.sql.window import Window as W
 
 from haplospark.functions import seq
 from haplospark.operators.interval import point_in_interval
+from haplospark.operators.ranking import row_numbers
+from haplospark.operators.stored import stored
 from haplospark.plans.base import ALLC, DOSAGE, PHENO, SITES, allc, dosage, pheno, sites
 from haplospark.plans.joins import HAPS, _haplotypes
 from haplospark.plans.registry import query, table
@@ -133,14 +135,14 @@ def a23(spark, d):
     return s.join(F.broadcast(middle)).select("sample", "n", (F.col("n") < F.col("med") * 0.9).alias("control"))
 
 
-@query("a32_bootstrap", f"with {PAIRS}, l as (select line, count(*) as n, sum(y) as s from pairs group by 1), k as (select max(line) as m from l), d as (select distinct b, ('0x' || substr(md5(concat(b, '-', i)), 1, 8))::bigint % m + 1 as line from k, range(0, 200) t(b), range(0, (select m from k)) u(i)), e as (select b, sum(s) / sum(n) as mean from d join l using (line) group by 1) select round(quantile_cont(mean, 0.025), 5) as low, round(quantile_cont(mean, 0.975), 5) as high, count(*) as resamples from e")
+@query("a32_bootstrap", f"with {PAIRS}, g as (select line, count(*) as n, sum(y) as s from pairs group by 1), l as (select *, row_number() over (order by line) as no from g), k as (select count(*) as m from l), d as (select distinct b, ('0x' || substr(md5(concat(b, '-', l.no - 1)), 1, 8))::bigint % m + 1 as no from k, range(0, 200) t(b), l), e as (select b, sum(s) / sum(n) as mean from d join l using (no) group by 1) select round(quantile_cont(mean, 0.025), 5) as low, round(quantile_cont(mean, 0.975), 5) as high, count(*) as resamples from e")
 def a32(spark, d):
     """95 % interval of a mean over 200 resamples of the lines; a line counts once in a resample, however often drawn."""
     lines = pairs(spark, d).groupBy("line").agg(one().alias("n"), F.sum("y").alias("s"))
-    draws = lines.agg(F.max("line").alias("m")).select("m", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("b")).repartition("b")
-    draws = draws.select("b", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("i"))
-    picked = draws.select("b", drawn(F.concat_ws("-", F.col("b").cast("string"), F.col("i").cast("string")), F.col("m")).alias("line")).distinct()
-    mean = picked.join(lines, "line").groupBy("b").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    lines = stored(row_numbers(lines, [], ["line"], "no", "m"))
+    draws = lines.select("m", (F.col("no") - 1).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(199))).alias("b"))
+    picked = draws.select("b", drawn(F.concat_ws("-", F.col("b").cast("string"), F.col("i").cast("string")), F.col("m")).alias("no")).distinct()
+    mean = picked.join(lines, "no").groupBy("b").agg((F.sum("s") / F.sum("n")).alias("mean"))
     at = lambda q: F.round(F.percentile("mean", F.lit(q)), 5)
     return mean.agg(at(0.025).alias("low"), at(0.975).alias("high"), one().alias("resamples"))
 

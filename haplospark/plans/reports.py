@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from haplospark.functions import seq
+from haplospark.operators.ranking import row_numbers
+from haplospark.operators.sampling import draw_key
 from haplospark.plans.base import PHENO, pheno
 from haplospark.plans.registry import query, table
 from haplospark.plans.variants import PAIRS, VAR, one, pairs, r6, variants
@@ -140,16 +142,15 @@ def o6(spark, d):
 
 @query("t9_stratified_folds", "select c_custkey, (row_number() over (partition by c_mktsegment order by md5(concat(cast(c_custkey as varchar), '-5')), c_custkey) - 1) % 5 as fold from customer")
 def t9(spark, d):
-    order = W.partitionBy("c_mktsegment").orderBy(F.md5(F.concat(F.col("c_custkey").cast("string"), F.lit("-5"))), "c_custkey")
-    return table(spark, d, "customer").select("c_custkey", ((F.row_number().over(order) - 1) % 5).alias("fold"))
+    rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    return row_numbers(rows, ["c_mktsegment"], [draw_key("c_custkey", 5), "c_custkey"]).select("c_custkey", ((F.col("rn") - 1) % 5).alias("fold"))
 
 
 @query("t10_permuted_targets", f"with {PHENO}, a as (select iid, trait, row_number() over (partition by trait order by iid) as rn from pheno), b as (select value, trait, row_number() over (partition by trait order by md5(concat(cast(iid as varchar), '-1')), iid) as rn from pheno) select a.iid, b.value from a join b using (trait, rn)")
 def t10(spark, d):
     p = pheno(spark, d)
-    by = W.partitionBy("trait")
-    a = p.select("iid", "trait", F.row_number().over(by.orderBy("iid")).alias("rn"))
-    b = p.select("value", "trait", F.row_number().over(by.orderBy(F.md5(F.concat(F.col("iid").cast("string"), F.lit("-1"))), "iid")).alias("rn"))
+    a = row_numbers(p.select("iid", "trait"), ["trait"], ["iid"])
+    b = row_numbers(p.select("iid", "value", "trait"), ["trait"], [draw_key("iid", 1), "iid"]).drop("iid")
     return a.join(b, ["trait", "rn"]).select("iid", "value")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 from haplospark.functions import seq
 from haplospark.operators.choose import matching, resolve
 from haplospark.operators.interval import point_in_interval
+from haplospark.operators.ranking import row_numbers
 from haplospark.operators.sampling import draw_key
 from haplospark.plans.base import ALLC, DOSAGE, PHENO, SITES, allc, dosage, pheno, sites
 from haplospark.plans.joins import HAPS, _haplotypes
@@ -106,7 +107,7 @@ def o5(spark, d):
 @query("o10_stride", f"with {SITES}, r as (select *, row_number() over (partition by chrom order by pos) - 1 as ord from sites) select chrom, pos from r where ord % 7 = 0")
 def o10(spark, d):
     """Every seventh site of each chromosome."""
-    return sites(spark, d).withColumn("ord", F.row_number().over(W.partitionBy("chrom").orderBy("pos")) - 1).where("ord % 7 = 0").select("chrom", "pos")
+    return row_numbers(sites(spark, d), ["chrom"], ["pos"]).where("(rn - 1) % 7 = 0").select("chrom", "pos")
 
 
 @query("r6_views", f"with {PHENO}, v as (select 'coverage' as view, trait as key, count(value) as n, round(avg(value), 4) as mean from pheno group by 2 union all select 'group', cast(grp as varchar), count(value), round(avg(value), 4) from pheno group by 2) select * from v")

@@ -10,7 +10,7 @@ from haplospark.plans.base import ALLC, DOSAGE, PHENO, SITES, allc, dosage, phen
 from haplospark.plans.registry import query, table
 
 #: (id, chrom, pos, ref, alt) from part.
-VAR = """var as (select p_partkey as id, cast(1 + p_partkey % 7 as integer) as chrom, p_partkey % 5000 as pos,
+VAR = """var as (select p_partkey as id, cast(1 + p_partkey % 7 as integer) as chrom, p_partkey * 3 as pos,
   substr('ACGT', cast(p_size % 4 as integer) + 1, 1) as ref, substr('ACGTN-', cast(p_partkey % 6 as integer) + 1, 1) as alt from part)"""
 #: (gene, line, y, p): truth and prediction of each line item.
 PAIRS = "pairs as (select l_partkey as gene, l_suppkey as line, l_orderkey, l_linenumber, l_extendedprice / 1000 as y, l_quantity * 1.5 as p from lineitem)"
@@ -26,7 +26,7 @@ def r6(c):
 
 def variants(spark, d):
     return table(spark, d, "part").selectExpr(
-        "p_partkey as id", "cast(1 + p_partkey % 7 as integer) as chrom", "p_partkey % 5000 as pos",
+        "p_partkey as id", "cast(1 + p_partkey % 7 as integer) as chrom", "p_partkey * 3 as pos",
         "substr('ACGT', cast(p_size % 4 as integer) + 1, 1) as ref", "substr('ACGTN-', cast(p_partkey % 6 as integer) + 1, 1) as alt",
     )
 
