@@ -7,10 +7,11 @@ from pyspark.sql.window import Window as W
 
 from haplospark.operators.ranking import average_ranks, row_numbers
 from haplospark.operators.stats import masked_metrics, with_train_zscore, with_zscore
+from haplospark.operators.stored import stored
 from haplospark.operators.windows import near_counts
 from haplospark.plans.base import ALLC, DOSAGE, PHENO, allc, dosage, pheno
 from haplospark.plans.registry import query, table
-from haplospark.streaming.accumulate import site_accumulators
+from haplospark.streaming.accumulate import merge_accumulators, site_accumulators
 
 def one():
     return F.count(F.lit(1))
@@ -31,6 +32,14 @@ def a1(spark, d):
     return site_accumulators(allc(spark, d).select("site", "mc", "total")).withColumns({c: r6(c) for c in ("sum_p", "sum_p2", "sum_noise")})
 
 
+@query("k6_merged_partials", f"with {ALLC}, {ACC} select site, n_obs, round(sum_p, 6) as sum_p, round(sum_p2, 6) as sum_p2, round(sum_noise, 6) as sum_noise, cast(sum_m as bigint) as sum_m, cast(sum_total as bigint) as sum_total, n_seen from acc")
+def k6(spark, d):
+    """Site accumulators kept by chromosome and merged."""
+    calls = allc(spark, d)
+    partials = stored(site_accumulators(calls.select(F.struct("chrom", "site").alias("site"), "mc", "total")))
+    return merge_accumulators(partials.withColumn("site", F.col("site.site"))).withColumns({c: r6(c) for c in ("sum_p", "sum_p2", "sum_noise")})
+
+
 @query("a3_first_context", "select l_partkey as site, min_by(l_returnflag, l_orderkey * 10 + l_linenumber) as context, count(distinct l_returnflag) > 1 as changed from lineitem group by 1")
 def a3(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("site")).agg(

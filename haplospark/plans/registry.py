@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("sites", "aggregates", "joins", "variants", "reports", "more", "models", "cis", "scalars", "complete")
+MODULES = ("sites", "aggregates", "joins", "variants", "reports", "more", "models", "cis", "learners", "scalars", "complete")
 
 
 def query(name: str, sql: str | None) -> Callable[[Query], Query]:

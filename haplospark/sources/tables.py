@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,15 +105,20 @@ def flattened(record: dict, prefix: str = "") -> dict[str, str]:
     return out
 
 
+#: A row of a manifest; written has nanoseconds, or null in older manifests.
+MANIFEST = "run_id string, key string, value string, written long"
+
+
 def append_run(spark: SparkSession, record: dict, path: str) -> None:
     """Add a run record to a manifest of (run_id, key, value); a record without run_id is refused."""
     run_id = record["run_id"]
-    rows = [(str(run_id), k, v) for k, v in flattened(record).items()]
-    spark.createDataFrame(rows, "run_id string, key string, value string").write.mode("append").json(path)
+    now = time.time_ns()
+    rows = [(str(run_id), k, v, now) for k, v in flattened(record).items()]
+    spark.createDataFrame(rows, MANIFEST).write.mode("append").json(path)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(run_id, values map<string, string>) of a manifest; of a key that was written again the greatest value counts."""
-    rows = spark.read.schema("run_id string, key string, value string").json(path)
-    last = rows.groupBy("run_id", "key").agg(F.max("value").alias("value"))
+    """(run_id, values map<string, string>) of a manifest; of a key that was written again the last value counts."""
+    rows = spark.read.schema(MANIFEST).json(path)
+    last = rows.groupBy("run_id", "key").agg(F.max_by("value", F.struct(F.coalesce("written", F.lit(0)), "value")).alias("value"))
     return last.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("values"))
