@@ -84,11 +84,12 @@ def forest(rows: DataFrame, by: list[str], trees: int, depth: int, id_col: str =
 
     rows has bins (see binned). A tree that drew none of a group's training rows has no say; a group without any is predicted null.
     """
-    each = _prepared(rows, by, id_col, target, train).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    base = stored(_prepared(rows, by, id_col, target, train).withColumn("row_", F.monotonically_increasing_id()))  # tells rows of one id apart
+    each = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     weight = F.when(F.col("learned"), drawn_weight(F.lit(seed), F.col("tree"), *[F.col(c) for c in by], F.col("id_"))).otherwise(0.0)
     grown = _grown(stored(each.withColumn("w", weight).withColumn("t", F.coalesce("y", F.lit(0.0)))), [*by, "tree"], depth)
-    found = grown.groupBy(*by, "id_").agg(F.first("y").alias(target), F.avg("value").alias("predicted"))
-    return found.withColumnRenamed("id_", id_col)
+    found = grown.groupBy(*by, "row_").agg(F.first("id_").alias(id_col), F.first("y").alias(target), F.avg("value").alias("predicted"))
+    return found.drop("row_")
 
 
 def boosted(rows: DataFrame, by: list[str], rounds: int, depth: int, rate: float = 0.1, id_col: str = "sample", target: str = "y", train: str = "train") -> DataFrame:

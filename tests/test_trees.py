@@ -76,6 +76,8 @@ def test_bins_and_empty_groups(spark):
     df = spark.createDataFrame([(k, [float(k), 1.0], k < 60) for k in range(80)], "sample int, x array<double>, train boolean")
     got = {r["sample"]: r.bins for r in trees.binned(df, "x", 4).collect()}
     assert [got[k][0] for k in (0, 14, 16, 29, 31, 44, 46, 79)] == [0, 0, 1, 1, 2, 2, 3, 3] and all(b[1] == 0 for b in got.values())
+    twice = spark.createDataFrame([("a", 1, [k % 2], float(k), k < 6) for k in range(8)], "trait string, sample int, bins array<int>, y double, train boolean")
+    assert sorted(r.y for r in trees.forest(twice, ["trait"], 3, 1).collect()) == [float(k) for k in range(8)]
     none = spark.createDataFrame([("a", 1, [0], None, True)], "trait string, sample int, bins array<int>, y double, train boolean")
     assert trees.forest(none, ["trait"], 2, 2).first().predicted is None
     assert trees.boosted(none, ["trait"], 2, 2).count() == 0
