@@ -23,6 +23,7 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -53,18 +54,18 @@ class RankQueue:
     BITS = [1 << i for i in range(WORD)]
 
     def __init__(self, n_ranks: int):
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, array | list[int]] = {}
         self.words = [0] * (max(1, n_ranks) // self.WORD + 1)
         self.top = 0
 
     def fill(self, ranks: np.ndarray, positions: np.ndarray) -> None:
         """Put many positions at once into an empty queue; the positions ascend."""
         order = np.argsort(ranks, kind="stable")
-        ranks, positions = ranks[order], positions[order].tolist()
+        ranks, positions = ranks[order], positions[order].astype(np.int32)
         cuts = [0, *(np.flatnonzero(np.diff(ranks)) + 1).tolist(), len(positions)]
         for s, e in zip(cuts, cuts[1:]):
             if e > s:
-                self.buckets[int(ranks[s])] = positions[s:e]
+                self.buckets[int(ranks[s])] = array("i", positions[s:e].tobytes())
                 self.mark(int(ranks[s]))
 
     def mark(self, rank: int) -> None:
@@ -87,9 +88,7 @@ class RankQueue:
         word = self.words[hi] = self.words[hi] ^ self.BITS[rank & 255]
         if not word:
             self.top ^= 1 << hi
-        if len(bucket) > 1:
-            bucket.sort()
-        return bucket
+        return sorted(bucket) if len(bucket) > 1 else bucket
 
 
 class Encoder:
@@ -98,7 +97,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.n_ranks = max(ranks.values(), default=0) + 1
-        self.pairs = np.full(1 << 16, -1, np.int64)  # the ranks of tokens of two bytes
+        self.pairs = np.full(1 << 16, -1, np.int32)  # the ranks of tokens of two bytes
         for token, rank in ranks.items():
             if len(token) == 2:
                 self.pairs[token[0] << 8 | token[1]] = rank
@@ -113,16 +112,15 @@ class Encoder:
         edges[np.cumsum(sizes) - sizes] = 1
         edges[n] = 1
         stop = edges.tobytes()
-        data = np.frombuffer(text, np.uint8).astype(np.int64)
-        ranks_at = np.full(n, -1, np.int64)
+        data = np.frombuffer(text, np.uint8).astype(np.uint16)
+        ranks_at = np.full(n, -1, np.int32)
         ranks_at[:-1] = self.pairs[data[:-1] << 8 | data[1:]]
         ranks_at[:-1][edges[1:n] == 1] = -1
         queue = RankQueue(self.n_ranks)
         there = np.flatnonzero(ranks_at >= 0)
         queue.fill(ranks_at[there], there)
-        pair = ranks_at.tolist()
-        end = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
+        pair, end, before = (array("i", x.astype(np.int32).tobytes()) for x in (ranks_at, np.arange(1, n + 1), np.arange(-1, n - 1)))
+        del data, edges, there, ranks_at
         buckets, mark, first, take = queue.buckets, queue.mark, queue.first, queue.take
         find = buckets.get
         while (rank := first()) >= 0:
