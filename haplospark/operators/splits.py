@@ -31,14 +31,10 @@ def pending(work: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
     return work.join(done, same, "left_anti")
 
 
-def grid(spark, axes: dict[str, list]) -> DataFrame:
-    """Every point of a parameter grid, numbered in the order of the axes, the last one fastest."""
-    total = 1
+def over_grid(df: DataFrame, axes: dict[str, list]) -> DataFrame:
+    """df with each row once for every point of a parameter grid, numbered as grid() does."""
+    points = [()]
     for values in axes.values():
-        total *= len(values)
-    points, below = spark.range(total).withColumnRenamed("id", "point"), total
-    for name, values in axes.items():
-        below //= len(values)
-        at = F.expr(f"cast((point div {below}) % {len(values)} as int)")
-        points = points.withColumn(name, F.get(F.array(*[F.lit(v) for v in values]), at))
-    return points
+        points = [(*p, v) for p in points for v in values]
+    rows = [F.struct(F.lit(k).cast("long").alias("point"), *[F.lit(v).alias(name) for name, v in zip(axes, p)]) for k, p in enumerate(points)]
+    return df.withColumn("grid_", F.explode(F.array(*rows))).select(*df.columns, "grid_.*")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from haplospark.functions import seq
 from haplospark.operators.kinship import dosage_vectors, gram_blocks, standardised
 from haplospark.operators.sampling import numbered
-from haplospark.operators.splits import grid, nested_dev, pending, resolve
+from haplospark.operators.splits import nested_dev, over_grid, pending, resolve
 from haplospark.operators.stats import average_rank
 from haplospark.plans.base import ALLC, DOSAGE, PHENO, SITES, allc, dosage, pheno, sites
 from haplospark.plans.more import LONG, components
@@ -371,6 +371,8 @@ def x6(spark, d):
     return twice.groupBy("run", "step").agg(F.max("ended").alias("ended")).groupBy("run").agg(one().alias("steps"), F.max("ended").alias("ended"))
 
 
-@query("d5_sweep_grid", "select cast(a.i * 6 + b.i * 2 + c.i as bigint) as point, ['snp', 'emb'][a.i + 1] as features, [0.1, 1.0, 10.0][b.i + 1]::double as alpha, [0, 1][c.i + 1] as seed from range(0, 2) a(i), range(0, 3) b(i), range(0, 2) c(i)")
+@query("d5_sweep_grid", f"with {PHENO}, t as (select trait, count(value) as n from pheno group by 1) select trait, n, cast(a.i * 6 + b.i * 2 + c.i as bigint) as point, ['snp', 'emb'][a.i + 1] as features, [0.1, 1.0, 10.0][b.i + 1]::double as alpha, [0, 1][c.i + 1] as seed from t, range(0, 2) a(i), range(0, 3) b(i), range(0, 2) c(i)")
 def d5(spark, d):
-    return grid(spark, {"features": ["snp", "emb"], "alpha": [0.1, 1.0, 10.0], "seed": [0, 1]})
+    """The runs of a sweep: every trait with its known values, at every point of the grid."""
+    traits = pheno(spark, d).groupBy("trait").agg(F.count("value").alias("n"))
+    return over_grid(traits, {"features": ["snp", "emb"], "alpha": [0.1, 1.0, 10.0], "seed": [0, 1]})

@@ -36,8 +36,8 @@ def m2_forest(spark, d):
 
 @query("m2_boosting", None)
 def m2_boosting(spark, d):
-    """Held-out scores of twelve boosted trees by return flag."""
-    return _scored(trees.boosted(_items(spark, d), ["trait"], 12, 3, 0.3, "id"))
+    """Held-out scores of six boosted trees by return flag."""
+    return _scored(trees.boosted(_items(spark, d), ["trait"], 6, 3, 0.3, "id"))
 
 
 @query("m2_estimators", None)
