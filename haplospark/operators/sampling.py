@@ -32,11 +32,6 @@ def stratified(df: DataFrame, strata: list[str], id_col: str, k: int, seed: int)
     return df.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).drop("rn")
 
 
-def numbered(ids: DataFrame, id_col: str, name: str = "ord", step: int = 1024) -> DataFrame:
-    """Distinct integer ids with their number from 0 in order, counted within ranges of step ids; only a row a range is summed up."""
-    ids = ids.select(id_col).distinct().withColumn("range_", F.floor(F.col(id_col) / step))
-    sizes = ids.groupBy("range_").agg(F.count(F.lit(1)).alias("n_"))
-    below = F.sum("n_").over(W.orderBy("range_").rowsBetween(W.unboundedPreceding, -1))
-    starts = sizes.select("range_", F.coalesce(below, F.lit(0)).alias("start_"))
-    within = F.row_number().over(W.partitionBy("range_").orderBy(id_col)) - 1
-    return ids.join(starts, "range_").select(id_col, (F.col("start_") + within).cast("long").alias(name))
+def numbered(ids: DataFrame, id_col: str, name: str = "ord") -> DataFrame:
+    """Distinct ids with their number from 0 in order, counted within ranges, however sparse the ids are."""
+    return row_numbers(ids.select(id_col).distinct(), [], [id_col], "rn_").select(id_col, (F.col("rn_") - 1).alias(name))
