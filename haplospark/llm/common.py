@@ -47,13 +47,19 @@ def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clean_up(spark: SparkSession) -> int:
-    """Delete what materialise() has written so far, once no result that reads it is needed any more; their number."""
-    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in _WRITTEN]
-    for path in paths:
+def written() -> set[str]:
+    """The folders that materialise() has written and clean_up() not deleted."""
+    return set(_WRITTEN)
+
+
+def clean_up(spark: SparkSession, keep: set[str] = frozenset()) -> int:
+    """Delete what materialise() has written, but for keep, once no result that reads it is needed any more; their number."""
+    gone = [p for p in _WRITTEN if p not in keep]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    _WRITTEN.clear()
-    return len(paths)
+        _WRITTEN.remove(name)
+    return len(gone)
 
 
 def map_rows(df: DataFrame, schema: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:

@@ -68,3 +68,14 @@ def test_one_row_of_each_near_group_stays(spark):
         want[here[0]] += 1
     assert have == want
     assert len(pipeline.near_dedup(spark, frame(spark, []), "").collect()) == 0
+
+
+def test_run_leaves_only_its_last_input(spark, tmp_path):
+    from haplospark.llm import common
+
+    frame(spark, edge_rows()).write.parquet(f"{tmp_path}/documents.parquet")
+    before = common.written()
+    kept = common.materialise(spark.range(3))
+    found = pipeline.run(spark, str(tmp_path))
+    assert len(common.written() - before) == 2 and kept.count() == 3
+    assert found.count() >= 4
