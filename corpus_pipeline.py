@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from haplospark.llm import bpe, langid, mixing, simhash, suffix
-from haplospark.llm.common import materialise
+from haplospark.llm.common import clean_up, materialise, written
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -95,10 +95,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs)
-    return docs
+    """All stages over documents, each written and read again; of what they write only the last stage's input is left."""
+    docs, others = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
+    for _, stage in STAGES[:-1]:
+        staged = stage(spark, docs, sf_dir)
+        own = written()
+        docs = materialise(staged)
+        clean_up(spark, keep=others | (written() - own))
+    return STAGES[-1][1](spark, docs, sf_dir)
