@@ -17,8 +17,10 @@ def read_phenotypes(spark: SparkSession, path: str, id_col: str, sep: str = ",",
     """(iid, trait, value) of a wide table, read as strings; what is no number is null, and ids stay strings."""
     wide = spark.read.option("header", True).option("sep", sep).csv(path)
     names = [c for c in wide.columns if c != id_col and (traits is None or c in traits)]
-    cells = F.array(*[F.struct(F.lit(c).alias("trait"), _number(F.col(f"`{c}`")).alias("value")) for c in names])
-    return wide.select(F.col(f"`{id_col}`").alias("iid"), F.explode(cells).alias("c")).select("iid", "c.trait", "c.value")
+    if not names:
+        return wide.select(F.col(f"`{id_col}`").alias("iid"), F.lit(None).cast("string").alias("trait"), F.lit(None).cast("double").alias("value")).where("false")
+    cells = wide.select(F.col(f"`{id_col}`").alias("iid"), F.posexplode(F.array(*[F.col(f"`{c}`") for c in names])).alias("at", "cell"))
+    return cells.select("iid", F.get(F.lit(names), F.col("at")).alias("trait"), _number(F.col("cell")).alias("value"))
 
 
 def read_by_file(spark: SparkSession, glob: str, pattern: str, sep: str = ",") -> DataFrame:

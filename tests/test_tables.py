@@ -112,3 +112,14 @@ def test_split_contracts(spark):
     work = spark.createDataFrame([(1, "a"), (2, "a"), (None, "b")], "k int, name string")
     ledger = spark.createDataFrame([(2, "a"), (2, "a"), (None, "b")], "k int, name string")
     assert [tuple(r) for r in pending(work, ledger, ["k", "name"]).collect()] == [(1, "a")]
+
+
+def test_phenotypes_of_thousands_of_traits(spark, tmp_path):
+    names = [f"t{k}" for k in range(5000)]
+    lines = ["id," + ",".join(names)] + [f"s{i}," + ",".join("NA" if (i + k) % 7 == 0 else str(i * k) for k in range(5000)) for i in range(3)]
+    (tmp_path / "wide.csv").write_text("\n".join(lines) + "\n")
+    found = tables.read_phenotypes(spark, f"{tmp_path}/wide.csv", "id").collect()
+    assert {(r.iid, r.trait): r.value for r in found} == {(f"s{i}", f"t{k}"): None if (i + k) % 7 == 0 else float(i * k) for i in range(3) for k in range(5000)}
+    assert len(found) == 15000
+    assert tables.read_phenotypes(spark, f"{tmp_path}/wide.csv", "id", traits=["t9", "t3"]).select("trait").distinct().count() == 2
+    assert tables.read_phenotypes(spark, f"{tmp_path}/wide.csv", "id", traits=[]).count() == 0
