@@ -15,6 +15,7 @@ bound the sets that must meet. In such a component the links are confirmed on th
 sets: one pass over the postings of a set's shingles counts its overlap with all others.
 Buckets and components that are too large for a task are cut into chunks, and each pair of
 chunks is a task, so nothing is dropped or capped, and nothing emits all pairs of a group.
+But for the bitmap of _wanted, whose size is bounded, nothing is broadcast: all joins merge.
 
 Defined cases: null or wordless text has the empty set, which links with nothing; fewer
 words than a shingle make one shingle; a null id never becomes a component id unless its
@@ -229,18 +230,18 @@ def near_duplicates(df: DataFrame, shingle: int = 3, percent: int = 85, id_col:
     distinct = materialise(distinct.withColumn("u", F.monotonically_increasing_id()))
     keys = distinct.select("u", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = keys.join(shared, "key").join(distinct.select("u", "n", "sign"), "u")
+    members = keys.join(shared.hint("merge"), "key").join(distinct.select("u", "n", "sign").hint("merge"), "u")
     weak = connected_components(_plausible(members, percent / 100, agreeing)).toDF("u", "group")
-    placed = weak.join(distinct.select("u", "n", "row"), "u")
+    placed = weak.join(distinct.select("u", "n", "row").hint("merge"), "u")
     totals = placed.groupBy("group").agg(F.sum("n").alias("total"))
-    wanted = materialise(placed.select("u", "group", "row").join(totals, "group"))
-    texts = _wanted(_keyed(input_columns(df, id=id_col, text=text_col)).select("row", "text"), wanted).join(wanted, "row")
+    wanted = materialise(placed.select("u", "group", "row").join(totals.hint("merge"), "group"))
+    texts = _wanted(_keyed(input_columns(df, id=id_col, text=text_col)).select("row", "text"), wanted).join(wanted.hint("merge"), "row")
     labels = connected_components(_confirmed(texts, shingle, percent)).toDF("u", "component")
-    labelled = distinct.select("u", "digest", "least").join(labels, "u")
+    labelled = distinct.select("u", "digest", "least").join(labels.hint("merge"), "u")
     heads = labelled.groupBy("component").agg(F.min("least").alias("head"))
-    grouped = labelled.join(heads, "component").select("digest", "head")
-    alone = distinct.join(labels, "u", "left_anti").select("digest", F.col("least").alias("head"))
-    known = prints.select("id", "digest", "n").join(grouped.unionByName(alone), "digest", "left")
+    grouped = labelled.join(heads.hint("merge"), "component").select("digest", "head")
+    alone = distinct.join(labels.hint("merge"), "u", "left_anti").select("digest", F.col("least").alias("head"))
+    known = prints.select("id", "digest", "n").join(grouped.unionByName(alone).hint("merge"), "digest", "left")
     component = F.when(F.col("n") > 0, F.col("head")).otherwise(F.col("id"))
     return known.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from haplospark.llm import minhash
+from haplospark.llm import components, minhash
 from haplospark.llm.oracles import ORACLES
 from haplospark.llm.queries import queries
 from tests.llm.test_operators import SF, WORDS, edge_rows, frame
@@ -114,3 +114,20 @@ def test_bitmap_keeps_every_wanted_row_and_few_others(spark, monkeypatch):
         assert {i for i in range(4000) if i % 10 == 3} <= kept
         assert len(kept) < 700 if bits > 8 else len(kept) == 4000
     assert minhash._wanted(texts, texts.where("false").select("row")).count() == 0
+
+
+def test_no_join_is_a_broadcast(spark, monkeypatch):
+    """A broadcast is bounded by a packed file's size, not by what it takes in the driver's memory."""
+    plans = []
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    for module in (minhash, components):
+        real = module.materialise
+        monkeypatch.setattr(module, "materialise", lambda df, real=real: (plans.append(plan(df)), real(df))[1])
+    rng = random.Random(4)
+    docs = [r for k in range(5) for r in variants(rng, 6, 40, 1, 10 * k)]
+    out = minhash.near_duplicates(frame(spark, docs))
+    assert len(plans) > 4 and not any("BroadcastHashJoin" in p for p in [*plans, plan(out)] if "bitmap_construct_agg" not in p)
+    assert len({r.component_id for r in out.collect()}) < len(docs)
