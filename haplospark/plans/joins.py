@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from haplospark.functions import seq
-from haplospark.operators.interval import point_in_interval
+from haplospark.operators.interval import nearest_marked, point_in_interval
 from haplospark.operators.sampling import numbered, split_ids, stratified
 from haplospark.operators.windows import greedy_windows
 from haplospark.plans.base import PHENO, SITES, pheno, sites
@@ -64,14 +64,7 @@ n as (select chrom, pos, last_value(mapped ignore nulls) over (partition by chro
   first_value(mapped ignore nulls) over (partition by chrom order by pos rows between current row and unbounded following) as ahead from m)
 select chrom, pos, case when back is null then ahead when ahead is null or pos - back <= ahead - pos then back else ahead end as nearest from n""")
 def j10(spark, d):
-    by = W.partitionBy("chrom").orderBy("pos")
-    mapped = F.when(F.col("pos") % 10 == 0, F.col("pos"))
-    n = sites(spark, d).withColumns({
-        "back": F.last(mapped, ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0)),
-        "ahead": F.first(mapped, ignorenulls=True).over(by.rowsBetween(0, W.unboundedFollowing)),
-    })
-    near = F.when(F.col("back").isNull(), F.col("ahead")).when(F.col("ahead").isNull() | (F.col("pos") - F.col("back") <= F.col("ahead") - F.col("pos")), F.col("back")).otherwise(F.col("ahead"))
-    return n.select("chrom", "pos", near.alias("nearest"))
+    return nearest_marked(sites(spark, d), F.col("pos") % 10 == 0)
 
 
 @query("j15_id_overlap", "select coalesce(c.c_custkey, o.k) as id, c.c_custkey is not null as in_a, o.k is not null as in_b from (select c_custkey from customer where c_acctbal > 0) c full outer join (select distinct o_custkey as k from orders) o on c.c_custkey = o.k")

@@ -4,6 +4,9 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from haplospark.operators.interval import nearest_marked
 from haplospark.operators.windows import greedy_windows
 
 
@@ -43,3 +46,15 @@ def test_modes_are_checked(spark):
     for mode, buffer in (("disjoint", 1), ("overlap", 25), ("other", 0)):
         with pytest.raises(ValueError):
             greedy_windows(sites, 25, mode, buffer)
+
+
+@pytest.mark.parametrize("width", [1, 7, 4096])
+def test_nearest_marked_equals_a_walk(spark, width):
+    rng = random.Random(width)
+    rows = [(c, p, bool(m)) for c in (1, 2, 3) for p, m in {rng.randrange(-50, 300): rng.random() < 0.1 and c < 3 for _ in range(120)}.items()]
+    df = spark.createDataFrame(rows, "chrom int, pos long, m boolean")
+    want = {(c, p): min((q for k, q, m in rows if m and k == c), key=lambda q: (abs(q - p), q), default=None) for c, p, _ in rows}
+    found = nearest_marked(df, F.col("m"), width)
+    assert {(r.chrom, r.pos): r.nearest for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedfollowing" not in plan.replace("$", "")  # such a frame is walked anew for each row
