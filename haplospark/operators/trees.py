@@ -2,8 +2,9 @@
 
 Features are cut into bins. A level sums weights and targets by (group, tree, node,
 feature, bin), which merges on the map side, so no node's rows are ever gathered; the best
-cut of each node follows from running sums over its bins. Held-out rows take part with
-weight 0: they follow the cuts and are predicted where they end.
+cut of each node follows from running sums over its bins, and so do the means on either
+side. The rows are written once. What is kept of a tree is a row of its nodes; a level
+takes each row down the nodes above it anew, so that nothing is stored for a row and tree.
 """
 
 from __future__ import annotations
@@ -12,12 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from haplospark.operators.stored import stored
+from haplospark.operators.stored import stored, written
 
 #: Gains at or below this are no cut.
 LEAST_GAIN = 1e-9
 #: Edges of all features that are shared by the tasks.
 MAX_EDGES = 1 << 20
+#: Nodes of all trees that are broadcast; beyond, the rows meet them in a shuffled join.
+MAX_NODES = 1 << 18
+#: Boosting rounds after which what is predicted so far is written, to bound the plan.
+ROUNDS = 8
 
 
 def binned(rows: DataFrame, features: str, bins: int = 32, train: str = "train") -> DataFrame:
@@ -36,33 +41,84 @@ def binned(rows: DataFrame, features: str, bins: int = 32, train: str = "train")
 
 
 def _cuts(active: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, feature, cut): the best cut of each node, the lowest feature and bin of equal ones; rows at bin cut or below go left."""
-    cells = active.where("w > 0").select(*keys, "w", (F.col("w") * F.col("t")).alias("wt"), F.posexplode("bins").alias("feature", "bin"))
+    """(keys, feature, cut, value, left, right): the mean of each node, its best cut and the means on its sides.
+
+    Of equal cuts it is the lowest feature and bin; rows at bin cut or below go left. Without a cut feature is null.
+    """
+    cells = active.where("w > 0").select(*keys, "w", (F.col("w") * F.col("t")).alias("wt"), F.posexplode_outer("bins").alias("feature", "bin"))
     sums = cells.groupBy(*keys, "feature", "bin").agg(F.sum("w").alias("w"), F.sum("wt").alias("wt"))
     own = W.partitionBy(*keys, "feature")  # a row a bin
     upto = own.orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
     sides = sums.select(*keys, "feature", "bin", F.sum("w").over(upto).alias("a"), F.sum("wt").over(upto).alias("x"), F.sum("w").over(own).alias("n"), F.sum("wt").over(own).alias("s"))
     a, x, n, s = (F.col(c) for c in ("a", "x", "n", "s"))
     gain = F.round(x * x / a + (s - x) * (s - x) / (n - a) - s * s / n, 9)
-    best = sides.where("n - a > 1e-9").groupBy(*keys).agg(F.max(F.struct(gain.alias("gain"), (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"))).alias("c"))
-    return best.where(F.col("c.gain") > LEAST_GAIN).select(*keys, (-F.col("c.f")).alias("feature"), (-F.col("c.b")).alias("cut"))
+    cut = F.struct(gain.alias("gain"), (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"), (x / a).alias("left"), ((s - x) / (n - a)).alias("right"))
+    best = sides.groupBy(*keys).agg(F.max(F.when(n - a > 1e-9, cut)).alias("c"), F.min(F.struct("feature", "bin", (s / n).alias("value"))).alias("r"))
+    found = F.when(F.col("c.gain") > LEAST_GAIN, F.col("c"))
+    return best.select(*keys, (-found["f"]).alias("feature"), (-found["b"]).alias("cut"), F.col("r.value").alias("value"), found["left"].alias("left"), found["right"].alias("right"))
+
+
+def _packed(nodes: DataFrame, keys: list[str], depth: int) -> DataFrame:
+    """(keys, tree_): of each tree an array of its inner nodes, numbered from the root, 1; null where there is none."""
+    held = nodes.groupBy(*keys).agg(F.collect_list(F.struct("node", "feature", "cut", "value", "left", "right")).alias("held"))  # the nodes of a tree
+    places = F.sequence(F.lit(1), F.lit(max(1, (1 << depth) - 1)))
+    return held.select(*keys, F.transform(places, lambda k: F.get(F.filter("held", lambda h: h["node"] == k), F.lit(0))).alias("tree_"))
+
+
+def _met(rows: DataFrame, model: DataFrame, by: list[str], nodes: int, how: str = "left") -> DataFrame:
+    """rows joined to a model of so many nodes a row."""
+    return rows.join(F.broadcast(model) if model.count() * nodes <= MAX_NODES else model, by, how)
+
+
+def _taken(rows: DataFrame, depth: int) -> DataFrame:
+    """rows(bins, tree_) with node and value: where they are after depth steps from the root, and the mean there."""
+    rows = rows.withColumn("node", F.lit(1)).withColumn("value", F.get("tree_", F.lit(0))["value"])
+    for _ in range(depth):
+        at = F.get("tree_", F.col("node") - 1)
+        right, stays = F.get("bins", at["feature"]) > at["cut"], at["feature"].isNull()
+        node = F.when(stays, F.col("node")).otherwise(2 * F.col("node") + right.cast("int"))
+        rows = rows.withColumns({"node": node, "value": F.when(stays, F.col("value")).when(right, at["right"]).otherwise(at["left"])})
+    return rows
 
 
 def _grown(rows: DataFrame, keys: list[str], depth: int) -> DataFrame:
-    """rows(keys, w, t, bins, ...) with value: the weighted mean of t in the leaf that a row ends in."""
-    state = rows.withColumn("node", F.lit(1).cast("long"))
-    for level in range(depth):
-        cuts = _cuts(state.where(F.col("node") >= (1 << level)), [*keys, "node"])
-        right = (F.get("bins", F.col("feature")) > F.col("cut")).cast("long")
-        moved = F.when(F.col("feature").isNull(), F.col("node")).otherwise(2 * F.col("node") + right)
-        state = stored(state.join(cuts, [*keys, "node"], "left").withColumn("node", moved).drop("feature", "cut"))
-    leaf = state.where("w > 0").groupBy(*keys, "node").agg((F.sum(F.col("w") * F.col("t")) / F.sum("w")).alias("value"))
-    return state.join(leaf, [*keys, "node"], "left").drop("node")
+    """(keys, tree_): the tree of each key over rows(keys, w, t, bins), read once a level."""
+    found: DataFrame | None = None
+    for level in range(max(1, depth)):
+        if found is None:
+            active = rows.withColumn("node", F.lit(1))
+        else:
+            active = _taken(_met(rows, _packed(found, keys, depth), keys, 1 << depth, "inner"), level).where(F.col("node") >= (1 << level))
+        cuts = stored(_cuts(active, [*keys, "node"]))
+        found = cuts if found is None else found.unionByName(cuts)
+    if not depth:
+        found = found.withColumn("feature", F.lit(None).cast("int"))
+    return stored(_packed(found, keys, depth))
+
+
+def _end(tree: Column, depth: int) -> Column:
+    """The mean of the leaf that a row of bins ends in; as _taken, for any number of trees."""
+
+    def step(end: Column, _: Column) -> Column:
+        at = F.get(tree, end["node"] - 1)
+        right = F.get("bins", at["feature"]) > at["cut"]
+        below = F.struct((2 * end["node"] + right.cast("int")).alias("node"), F.when(right, at["right"]).otherwise(at["left"]).alias("value"))
+        return F.when(at["feature"].isNull(), end).otherwise(below)
+
+    root = F.struct(F.lit(1).alias("node"), F.get(tree, F.lit(0))["value"].alias("value"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, depth))), root, step)["value"]
 
 
 def drawn_weight(*parts: Column) -> Column:
     """How often a row is drawn: Poisson with mean 1, from a hash of parts; in place of as many draws as there are rows."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("-", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return _poisson(_uniform(*parts))
+
+
+def _uniform(*parts: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.concat_ws("-", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def _poisson(u: Column) -> Column:
     weight, total, term = F.lit(12.0), 0.0, 0.36787944117144233
     steps = []
     for k in range(12):
@@ -84,20 +140,25 @@ def forest(rows: DataFrame, by: list[str], trees: int, depth: int, id_col: str =
 
     rows has bins (see binned). A tree that drew none of a group's training rows has no say; a group without any is predicted null.
     """
-    base = stored(_prepared(rows, by, id_col, target, train).withColumn("row_", F.monotonically_increasing_id()))  # tells rows of one id apart
-    each = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    weight = F.when(F.col("learned"), drawn_weight(F.lit(seed), F.col("tree"), *[F.col(c) for c in by], F.col("id_"))).otherwise(0.0)
-    grown = _grown(stored(each.withColumn("w", weight).withColumn("t", F.coalesce("y", F.lit(0.0)))), [*by, "tree"], depth)
-    found = grown.groupBy(*by, "row_").agg(F.first("id_").alias(id_col), F.first("y").alias(target), F.avg("value").alias("predicted"))
-    return found.drop("row_")
+    uniform = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: _uniform(F.lit(seed), tree, *[F.col(c) for c in by], F.col("id_")))
+    drawn = F.transform(uniform, lambda u: F.when(F.col("learned"), _poisson(u)).otherwise(0.0).cast("byte"))
+    base = written(_prepared(rows, by, id_col, target, train).withColumn("drawn", drawn))
+    each = base.where("learned").select(*by, "bins", F.col("y").alias("t"), F.posexplode("drawn").alias("tree", "w")).where("w > 0").withColumn("w", F.col("w").cast("double"))
+    grown = _grown(each, [*by, "tree"], depth).groupBy(*by).agg(F.collect_list("tree_").alias("trees_"))  # the trees of a group
+    found = _met(base, grown, by, trees << depth)
+    mean = F.aggregate(F.transform("trees_", lambda tree: _end(tree, depth)), F.lit(0.0), lambda s, v: s + v) / F.size("trees_")
+    return found.select(*by, F.col("id_").alias(id_col), F.col("y").alias(target), F.when(F.col("trees_").isNotNull(), mean).alias("predicted"))
 
 
 def boosted(rows: DataFrame, by: list[str], rounds: int, depth: int, rate: float = 0.1, id_col: str = "sample", target: str = "y", train: str = "train") -> DataFrame:
     """(by, id, target, predicted) of all rows: the training mean and rounds trees, each grown on what is left and added by rate."""
-    base = _prepared(rows, by, id_col, target, train)
-    means = base.where("learned").groupBy(*by).agg(F.avg("y").alias("predicted"))
-    state = stored(base.join(means, by).withColumn("w", F.col("learned").cast("double")))
-    for _ in range(rounds):
-        grown = _grown(state.withColumn("t", F.coalesce(F.col("y") - F.col("predicted"), F.lit(0.0))), by, depth)
-        state = stored(grown.withColumn("predicted", F.col("predicted") + rate * F.coalesce("value", F.lit(0.0))).drop("value", "t"))
+    base = written(_prepared(rows, by, id_col, target, train))
+    means = stored(base.where("learned").groupBy(*by).agg(F.avg("y").alias("predicted")))
+    state = _met(base, means, by, 1, "inner").withColumn("w", F.col("learned").cast("double"))
+    for k in range(rounds):
+        left = state.withColumn("t", F.coalesce(F.col("y") - F.col("predicted"), F.lit(0.0)))
+        after = _taken(_met(state, _grown(left.where("learned"), by, depth), by, 1 << depth), depth)
+        state = after.withColumn("predicted", F.col("predicted") + rate * F.coalesce("value", F.lit(0.0))).drop("value", "node", "tree_")
+        if k % ROUNDS == ROUNDS - 1:
+            state = written(state)
     return state.select(*by, F.col("id_").alias(id_col), F.col("y").alias(target), "predicted")

@@ -20,7 +20,7 @@ def _items(spark, d):
     rows = table(spark, d, "lineitem").join(sizes, "l_partkey")
     x = F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax", "l_linenumber", "p_size")])
     rows = rows.select(F.col("l_returnflag").alias("trait"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_extendedprice") / 1000).alias("y"), x.alias("x"))
-    return stored(trees.binned(rows.withColumn("train", ~F.expr(_HELD)), "x", 16).drop("x"))
+    return trees.binned(rows.withColumn("train", ~F.expr(_HELD)), "x", 16).drop("x")
 
 
 def _scored(found):

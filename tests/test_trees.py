@@ -81,3 +81,22 @@ def test_bins_and_empty_groups(spark):
     none = spark.createDataFrame([("a", 1, [0], None, True)], "trait string, sample int, bins array<int>, y double, train boolean")
     assert trees.forest(none, ["trait"], 2, 2).first().predicted is None
     assert trees.boosted(none, ["trait"], 2, 2).count() == 0
+
+
+def test_rows_are_written_once(cases, monkeypatch):
+    """What is written follows the rows, not the trees, levels and rounds."""
+    _, df = cases
+    sizes = []
+    for name in ("stored", "written"):
+        monkeypatch.setattr(trees, name, lambda rows, real=getattr(trees, name): (out := real(rows), sizes.append(out.count()))[0])
+    trees.forest(df, ["trait"], 4, 3).collect()
+    trees.boosted(df, ["trait"], 5, 3).collect()
+    assert sum(n >= df.count() for n in sizes) == 2
+
+
+def test_no_depth_and_no_features_give_the_mean(spark):
+    rows = [("a", k, [], float(k), True) for k in range(4)]
+    df = spark.createDataFrame(rows, "trait string, sample int, bins array<int>, y double, train boolean")
+    assert {r.predicted for r in trees.boosted(df, ["trait"], 2, 2).collect()} == {1.5}
+    one = spark.createDataFrame([(t, k, [k], y, tr) for t, k, _, y, tr in rows], df.schema)
+    assert {r.predicted for r in trees.boosted(one, ["trait"], 2, 0).collect()} == {1.5}
