@@ -42,9 +42,11 @@ def k6(spark, d):
 
 @query("a3_first_context", "select l_partkey as site, min_by(l_returnflag, l_orderkey * 10 + l_linenumber) as context, count(distinct l_returnflag) > 1 as changed from lineitem group by 1")
 def a3(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("site")).agg(
-        F.min_by("l_returnflag", F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("context"), (F.count_distinct("l_returnflag") > 1).alias("changed")
-    )
+    """The context of a site's first call, of equal calls the one that the files have first, and whether others differ. Calls without one do not count."""
+    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    place = F.when(F.col("l_returnflag").isNotNull() & key.isNotNull(), F.struct(key.alias("key"), "_metadata.file_path", "_metadata.row_index"))
+    calls = table(spark, d, "lineitem").select(F.col("l_partkey").alias("site"), "l_returnflag", place.alias("place"))
+    return calls.groupBy("site").agg(F.min_by("l_returnflag", "place").alias("context"), (F.count_distinct("l_returnflag") > 1).alias("changed"))
 
 
 @query("a4_window_binomial", f"with {ALLC}, w as (select accession, chrom, site // 100 as win, sum(mc) as m, sum(total) as t from allc group by 1, 2, 3 having sum(total) >= 10) select chrom, win, count(*) as n, round(avg(m * 1.0 / t), 6) as mean_p, round(var_pop(m * 1.0 / t), 6) as var_p from w group by 1, 2")

@@ -1,7 +1,8 @@
-"""A mean at the cut of j27 is that of the rows added as the files have them."""
+"""Sums and first rows are those of the rows as the files have them."""
 
 import itertools
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,3 +29,19 @@ def test_means_add_rows_in_file_order(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == (((a + b) + c + d) / 4 <= 0.09)
+
+
+def test_first_of_equal_calls_is_that_of_the_files(spark, tmp_path):
+    ties = [(s, 4, 2, "ANR"[(s + k) % 3]) for k in range(40) for s in range(30)]
+    odd = [(99, 1, 1, None), (99, 3, 1, "R"), (99, None, 1, "A"), (98, 1, 1, None), (97, None, 1, "N")]
+    folder = tmp_path / "lineitem.parquet"
+    spark.createDataFrame(ties + odd, "l_partkey long, l_orderkey long, l_linenumber int, l_returnflag string").coalesce(1).write.option("parquet.block.size", "2000").parquet(str(folder))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        got = {r.site: (r.context, r.changed) for r in registry.queries()["a3_first_context"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    duck = duckdb.connect()
+    duck.execute("set threads = 1")
+    duck.execute(f"create view lineitem as select * from '{folder}/*.parquet'")
+    assert got == {s: (c, x) for s, c, x in duck.execute(registry.oracle_sql()["a3_first_context"]).fetchall()}
