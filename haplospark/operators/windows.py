@@ -82,14 +82,14 @@ def _pieces(passed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, rise
 
 
-def _in_ranges(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, np.ndarray]]:
-    """(key, positions) of each range; the first columns are the key, the last one pos."""
+def _in_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+    """((chrom, range), positions) of each range."""
     current, held = None, []
     for batch in batches:
         if not batch.num_rows:
             continue
-        own = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(keys)])
-        pos = batch.column(keys).to_numpy(zero_copy_only=False)
+        own = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2)])
+        pos = batch.column(2).to_numpy(zero_copy_only=False)
         cuts = [0, *(np.flatnonzero((own[:, 1:] != own[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
         for s, e in zip(cuts, cuts[1:]):
             key = tuple(own[:, s].tolist())
@@ -113,7 +113,7 @@ def greedy_windows(sites: DataFrame, half: int, mode: str = "disjoint", buffer:
     rule = Rule(half, mode, buffer)
 
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (chrom, part), pos in _in_ranges(batches, 2):
+        for (chrom, part), pos in _in_ranges(batches):
             low = part * range_bases - rule.before
             passed = rule.passed_on(pos, np.arange(low, low + rule.before + rule.carried + 1))
             at, rise = _pieces(passed)
@@ -130,20 +130,18 @@ def greedy_windows(sites: DataFrame, half: int, mode: str = "disjoint", buffer:
             state = int(values[k] + rises[k] * (state - begins[k]))
         return pd.DataFrame({"chrom": frame["chrom"], "range_": frame["range_"], "state": entries})
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (chrom, _, state), pos in _in_ranges(batches, 3):
-            start, end, n = zip(*rule.place(pos, state))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chrom] * len(n), pa.int32()), *[pa.array(x, pa.int64()) for x in (start, end, n)]], ["chrom", "start", "end", "n_sites"]
-            )
+    def place(group: pa.Table) -> pa.Table:
+        chrom, state = group.column(0)[0].as_py(), group.column(2)[0].as_py()
+        start, end, n = zip(*rule.place(np.sort(group.column(3).to_numpy()), state))
+        return pa.table([pa.array([chrom] * len(n), pa.int32()), *[pa.array(x, pa.int64()) for x in (start, end, n)]], ["chrom", "start", "end", "n_sites"])
 
     rows = sites.select(F.col("chrom").cast("int").alias("chrom"), F.col("pos").cast("long").alias("pos")).dropna().distinct()
     rows = rows.withColumn("range_", F.floor(F.col("pos") / range_bases))
     ordered = rows.repartition("chrom", "range_").sortWithinPartitions("chrom", "range_", "pos").select("chrom", "range_", "pos")
     passing = ordered.mapInArrow(transfer, "chrom int, range_ long, begins array<long>, values array<long>, rises array<long>")
     entries = passing.groupBy("chrom").applyInPandas(chain, "chrom int, range_ long, state long")  # a row a range
-    placed = rows.join(entries, ["chrom", "range_"]).repartition("chrom", "range_").sortWithinPartitions("chrom", "range_", "pos")
-    found = placed.select("chrom", "range_", "state", "pos").mapInArrow(place, SCHEMA)
+    # a group, not a repartition: after a join of the same keys that one is left out, and the join may then be broadcast over other partitions
+    found = rows.join(entries, ["chrom", "range_"]).select("chrom", "range_", "state", "pos").groupBy("chrom", "range_").applyInArrow(place, SCHEMA)
     return found.groupBy("chrom", "start", "end").agg(F.sum("n_sites").alias("n_sites"))
 
 

@@ -41,6 +41,22 @@ def test_ranges_of_any_size_give_the_same_windows(spark, half, mode, buffer):
     assert greedy_windows(sites.where("false"), half, mode, buffer).count() == 0
 
 
+def test_a_broadcast_join_keeps_ranges_whole(spark, tmp_path):
+    rng = random.Random(8)
+    cases = {c: [rng.randrange(90000) for _ in range(20000)] for c in (1, 2)}
+    spark.createDataFrame([(c, p) for c, ps in cases.items() for p in ps], "chrom int, pos long").repartition(4).write.parquet(f"{tmp_path}/sites")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "20KB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = sorted(tuple(r) for r in greedy_windows(spark.read.parquet(f"{tmp_path}/sites"), 25).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == sorted((c, *w) for c, ps in cases.items() for w in walked(ps, 25, "disjoint", 0))
+
+
 def test_modes_are_checked(spark):
     sites = spark.createDataFrame([(1, 5)], "chrom int, pos long")
     for mode, buffer in (("disjoint", 1), ("overlap", 25), ("other", 0)):
