@@ -176,3 +176,32 @@ def test_residual_of_kinship(spark):
     for t in range(3):
         s = (y[t] - y[t, train].mean()) / y[t, train].std(ddof=1)
         assert np.allclose(found[t], s - k[:, train] @ np.linalg.solve(k[np.ix_(train, train)] + 3.0 * np.eye(8), s[train]))
+
+
+def test_penalties_share_one_decomposition(monkeypatch):
+    rng = np.random.default_rng(12)
+    z = rng.normal(size=(30, 20))
+    y = rng.normal(size=(4, 20))
+    inverse = np.linalg.inv
+    monkeypatch.setattr(np.linalg, "inv", lambda m: pytest.fail("an inverse for each penalty"))
+    penalty, least, weights = kernel.choose_penalty(z.T @ z / 30, y)
+    for k in range(4):
+        found = []
+        for p in kernel.PENALTIES:
+            inner = inverse(z.T @ z / 30 + p * np.eye(20))
+            found.append((np.mean((inner @ y[k] / np.diag(inner)) ** 2), p, inner @ y[k]))
+        error, p, w = min(found, key=lambda f: f[0])
+        assert penalty[k] == p and least[k] == pytest.approx(error) and np.allclose(weights[k], w)
+
+
+@pytest.mark.parametrize("ratio", [0.5, 0.95])
+def test_elastic_net_is_exact_along_the_path(ratio):
+    rng = np.random.default_rng(13)
+    x = rng.integers(0, 3, (60, 40)).astype(float)
+    x[:, 7], x[:, 9] = x[:, 3], 1.0  # an equal and a constant feature
+    y = x @ (rng.normal(size=40) * (rng.random(40) < 0.3)) + rng.normal(size=60)
+    centred = x - x.mean(0)
+    for p, (w, b) in zip(grid := elastic_net.penalty_grid(x, y, ratio), elastic_net.path(x, y, grid, ratio)):
+        pull = centred.T @ (y - x @ w - b) - 60 * p * (1 - ratio) * w
+        assert np.abs(pull[w != 0] - 60 * p * ratio * np.sign(w[w != 0])).max(initial=0) < 1e-9 * 60 * grid[0]
+        assert (np.abs(pull) <= 60 * p * ratio * (1 + 1e-5)).all()
