@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from haplospark.operators import estimators, trees
-from haplospark.operators.stored import stored
 from haplospark.plans.cis import _site_rows
 from haplospark.plans.registry import query, table
 from haplospark.plans.variants import r6
@@ -43,8 +42,7 @@ def m2_boosting(spark, d):
 @query("m2_estimators", None)
 def m2_estimators(spark, d):
     """Held-out scores of kernel ridge and partial least squares on embeddings, for each supplier."""
-    rows = stored(_site_rows(spark, d).select("site", "sample", "part", "y", F.col("emb").alias("x")))
+    rows = _site_rows(spark, d).select("site", "sample", "part", "y", F.col("emb").alias("x"))
     makers = {"kernel_ridge": lambda: estimators.KernelRidge(1.0), "pls": lambda: estimators.PartialLeastSquares(2)}
-    found = [estimators.scores(estimators.fit_by_trait(rows, estimators.by_estimator(make), trait="site"), "site").withColumn("model", F.lit(name)) for name, make in makers.items()]
-    out = found[0].unionByName(found[1])
-    return out.select("site", "model", "n", r6("pearson").alias("pearson"), r6("r2").alias("r2"))
+    found = estimators.fit_models(rows, {name: estimators.by_estimator(make) for name, make in makers.items()}, trait="site")
+    return estimators.scores(found, ["site", "model"]).select("site", "model", "n", r6("pearson").alias("pearson"), r6("r2").alias("r2"))

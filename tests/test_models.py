@@ -98,6 +98,17 @@ def test_estimators(spark):
     assert held.where("trait = 'c'").count() == 1  # the row without a fold is not predicted
 
 
+def test_models_of_the_same_rows_share_one_gathering(spark):
+    rows, _ = _trait_rows(spark)
+    makers = {"ridge": lambda: estimators.KernelRidge(1.0), "pls": lambda: estimators.PartialLeastSquares(2)}
+    models = {name: estimators.by_estimator(make) for name, make in makers.items()}
+    found = estimators.fit_models(rows, models)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1
+    for name, fit in models.items():
+        want = sorted(map(str, estimators.fit_by_trait(rows, fit).collect()))
+        assert sorted(map(str, found.where(f"model = '{name}'").drop("model").collect())) == want and want
+
+
 def test_kernel_ridge():
     rng = np.random.default_rng(6)
     x, y, new = rng.normal(size=(8, 2)), rng.normal(size=8), rng.normal(size=(3, 2))
