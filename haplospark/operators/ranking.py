@@ -41,3 +41,22 @@ def average_ranks(df: DataFrame, value: str, by: list[str], name: str = "rank")
     numbered = row_numbers(df, by, [value], "rn_")
     ties = numbered.groupBy(*by, value).agg(F.avg("rn_").alias(name))
     return numbered.drop("rn_").join(ties, [*by, value]).select(*df.columns, name)
+
+
+def counted_ranks(df: DataFrame, value: str, by: list[str], name: str = "rank") -> DataFrame:
+    """As average_ranks, from a row for each value and its count; nulls are equal and come last, in by as in value."""
+    order = F.col(value).asc_nulls_last()
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_"))
+    ranged = stored(counts.repartitionByRange(*by, order).withColumn("part_", F.spark_partition_id()))
+    sizes = ranged.groupBy("part_", *by).agg(F.sum("n_").alias("all_"))
+    below = F.sum("all_").over(W.partitionBy(*by).orderBy("part_").rowsBetween(W.unboundedPreceding, -1))  # a row a range
+    starts = sizes.select(F.col("part_").alias("p_"), *[F.col(c).alias(f"c{k}_") for k, c in enumerate(by)], F.coalesce(below, F.lit(0)).alias("start_"))
+    before = F.sum("n_").over(W.partitionBy("part_", *by).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    keys = [F.col(c).alias(f"b{k}_") for k, c in enumerate(by)]
+    ranks = ranged.select(*keys, F.col(value).alias("v_"), "n_", "part_", F.coalesce(before, F.lit(0)).alias("before_"))
+    same, match = F.col("part_") == F.col("p_"), F.col(value).eqNullSafe(F.col("v_"))
+    for k, c in enumerate(by):
+        same = same & F.col(f"b{k}_").eqNullSafe(F.col(f"c{k}_"))
+        match = match & F.col(c).eqNullSafe(F.col(f"b{k}_"))
+    rank = F.col("start_") + F.col("before_") + (F.col("n_") + 1) / 2
+    return df.join(ranks.join(starts, same).select(*[f"b{k}_" for k in range(len(by))], "v_", rank.alias(name)), match).select(*df.columns, name)
