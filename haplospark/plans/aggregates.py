@@ -29,15 +29,15 @@ ACC = """acc as (select site, count(case when total >= 2 then 1 end) as n_obs, s
 
 @query("a1_site_accumulators", f"with {ALLC}, {ACC} select site, n_obs, round(sum_p, 6) as sum_p, round(sum_p2, 6) as sum_p2, round(sum_noise, 6) as sum_noise, cast(sum_m as bigint) as sum_m, cast(sum_total as bigint) as sum_total, n_seen from acc")
 def a1(spark, d):
-    return site_accumulators(allc(spark, d).select("site", "mc", "total")).withColumns({c: r6(c) for c in ("sum_p", "sum_p2", "sum_noise")})
+    return site_accumulators(allc(spark, d, ("site",)).select("site", "mc", "total")).withColumns({c: r6(c) for c in ("sum_p", "sum_p2", "sum_noise")})
 
 
 @query("k6_merged_partials", f"with {ALLC}, {ACC} select site, n_obs, round(sum_p, 6) as sum_p, round(sum_p2, 6) as sum_p2, round(sum_noise, 6) as sum_noise, cast(sum_m as bigint) as sum_m, cast(sum_total as bigint) as sum_total, n_seen from acc")
 def k6(spark, d):
     """Site accumulators kept by chromosome and merged."""
-    calls = allc(spark, d)
-    partials = stored(site_accumulators(calls.select(F.struct("chrom", "site").alias("site"), "mc", "total")))
-    return merge_accumulators(partials.withColumn("site", F.col("site.site"))).withColumns({c: r6(c) for c in ("sum_p", "sum_p2", "sum_noise")})
+    calls = allc(spark, d, ("site",))
+    partials = stored(site_accumulators(calls.select("chrom", "site", "mc", "total"), by=("chrom", "site")))
+    return merge_accumulators(partials).withColumns({c: r6(c) for c in ("sum_p", "sum_p2", "sum_noise")})
 
 
 @query("a3_first_context", "select l_partkey as site, min_by(l_returnflag, l_orderkey * 10 + l_linenumber) as context, count(distinct l_returnflag) > 1 as changed from lineitem group by 1")
@@ -68,7 +68,7 @@ def a5(spark, d):
 @query("a6_a7_retained_sites", f"with {ALLC}, {ACC}, m as (select site, n_obs, sum_p / n_obs as mean_p, sum_p2 / n_obs - (sum_p / n_obs) * (sum_p / n_obs) as var_obs, sum_noise / n_obs as noise from acc where n_obs > 0) select site, n_obs, round(mean_p, 6) as mean_p, round(var_obs, 6) as var_obs, round(noise, 6) as noise from m where n_obs >= 5 and var_obs > 1.5 * noise")
 def a6(spark, d):
     n = F.col("n_obs")
-    moments = site_accumulators(allc(spark, d).select("site", "mc", "total")).where(n > 0).select(
+    moments = site_accumulators(allc(spark, d, ("site",)).select("site", "mc", "total")).where(n > 0).select(
         "site", "n_obs", (F.col("sum_p") / n).alias("mean_p"), (F.col("sum_p2") / n - F.pow(F.col("sum_p") / n, 2)).alias("var_obs"), (F.col("sum_noise") / n).alias("noise")
     )
     return moments.where("n_obs >= 5 and var_obs > 1.5 * noise").withColumns({c: r6(c) for c in ("mean_p", "var_obs", "noise")})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haplospark.operators.dealing import dealt
 from haplospark.plans.registry import table
 
 #: (chrom, pos): distinct sites.
@@ -28,11 +29,14 @@ def dosage(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def allc(spark: SparkSession, d: str) -> DataFrame:
+def allc(spark: SparkSession, d: str, by: tuple[str, ...] = ("accession", "chrom", "site")) -> DataFrame:
+    """Calls dealt out by some of their keys: nearly every row is a group, so aggregating before the shuffle saves nothing."""
     mc = F.floor(F.col("l_quantity") * F.col("l_discount") * 10)
-    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("accession"), F.col("l_linenumber").alias("chrom"), F.col("l_partkey").alias("site")).agg(
-        F.sum(mc.cast("long")).alias("mc"), F.sum(F.col("l_quantity").cast("long")).alias("total"), F.min("l_returnflag").alias("context")
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("accession"), F.col("l_linenumber").alias("chrom"), F.col("l_partkey").alias("site"),
+        mc.cast("long").alias("mc"), F.col("l_quantity").cast("long").alias("total"), F.col("l_returnflag").alias("context"),
     )
+    return dealt(rows, *by).groupBy("accession", "chrom", "site").agg(F.sum("mc").alias("mc"), F.sum("total").alias("total"), F.min("context").alias("context"))
 
 
 def pheno(spark: SparkSession, d: str) -> DataFrame:

@@ -34,7 +34,7 @@ _NEAR = f"{SITES}, {VAR}, near as (select v.id, s.pos, v.pos - 20 as lo from var
 def p6(spark, d):
     """Sites by coverage, context and level, then a drawn sample of 200."""
     level = F.avg(F.col("mc") / F.greatest("total", F.lit(1)))
-    g = allc(spark, d).where("total >= 5").groupBy("chrom", "site").agg(one().alias("n"), level.alias("level"), F.min("context").alias("context"))
+    g = allc(spark, d, ("site",)).where("total >= 5").groupBy("chrom", "site").agg(one().alias("n"), level.alias("level"), F.min("context").alias("context"))
     kept = g.where(F.col("context").isin("A", "N") & (F.col("level") > 0.1) & (F.col("level") < 0.9))
     key = F.md5(F.concat(F.col("chrom").cast("string"), F.lit(":"), F.col("site").cast("string"), F.lit("-7")))
     return kept.orderBy(key, "chrom", "site").limit(200).select("chrom", "site", "n", r6("level").alias("level"))

@@ -13,11 +13,11 @@ SUMS = ("n_obs", "sum_p", "sum_p2", "sum_noise", "sum_m", "sum_total", "n_seen")
 _LEDGER = "batch string, source string"
 
 
-def site_accumulators(calls: DataFrame, min_cov: int = 2) -> DataFrame:
-    """Per-site sums of calls(site, mc, total); works on batch and stream alike, as every column is a mergeable sum."""
+def site_accumulators(calls: DataFrame, min_cov: int = 2, by: tuple[str, ...] = ("site",)) -> DataFrame:
+    """Sums of calls(site, mc, total), per site or by more; works on batch and stream alike, as every column is a mergeable sum."""
     p = F.col("mc") / F.col("total")
     deep = F.col("total") >= min_cov
-    return calls.groupBy("site").agg(
+    return calls.groupBy(*by).agg(
         F.count(F.when(deep, 1)).alias("n_obs"),
         F.sum(F.when(deep, p)).alias("sum_p"),
         F.sum(F.when(deep, p * p)).alias("sum_p2"),
