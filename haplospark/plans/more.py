@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from haplospark.functions import seq
+from haplospark.operators.dealing import parts
 from haplospark.operators.interval import point_in_interval
 from haplospark.operators.ranking import row_numbers
 from haplospark.operators.stored import stored
@@ -139,9 +140,10 @@ def a23(spark, d):
 def a32(spark, d):
     """95 % interval of a mean over 200 resamples of the lines; a line counts once in a resample, however often drawn."""
     lines = pairs(spark, d).groupBy("line").agg(one().alias("n"), F.sum("y").alias("s"))
-    lines = stored(row_numbers(lines, [], ["line"], "no", "m"))
-    draws = lines.select("m", (F.col("no") - 1).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(199))).alias("b"))
-    picked = draws.select("b", drawn(F.concat_ws("-", F.col("b").cast("string"), F.col("i").cast("string")), F.col("m")).alias("no")).distinct()
+    lines = stored(row_numbers(lines, [], [F.col("line").isNull(), "line"], "no", "m"))  # a null is the last line, as in SQL
+    n = parts(lines, weight=200)
+    draws = lines.select("m", (F.col("no") - 1).alias("i")).repartition(n, "i").select("*", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("b"))
+    picked = draws.select("b", drawn(F.concat_ws("-", F.col("b").cast("string"), F.col("i").cast("string")), F.col("m")).alias("no")).repartition(n, "no").distinct()
     mean = picked.join(lines, "no").groupBy("b").agg((F.sum("s") / F.sum("n")).alias("mean"))
     at = lambda q: F.round(F.percentile("mean", F.lit(q)), 5)
     return mean.agg(at(0.025).alias("low"), at(0.975).alias("high"), one().alias("resamples"))
