@@ -1,14 +1,19 @@
 """Regression trees, forests and boosting as aggregates: a level of all trees at once.
 
-Features are cut into bins. A level sums weights and targets by (group, tree, node,
-feature, bin), which merges on the map side, so no node's rows are ever gathered; the best
+Features are cut into bins. No tree tells rows of a group with equal bins apart: they are
+summed to a cell, and trees grow on the cells, of which there are no more than rows and
+only so many as bins combine. A level sums weights and targets by (group, tree, node,
+feature, bin), which merges on the map side, so no node's cells are ever gathered; the best
 cut of each node follows from running sums over its bins, and so do the means on either
 side. The rows are written once. What is kept of a tree is a row of its nodes; a level
-takes each row down the nodes above it anew, so that nothing is stored for a row and tree.
+takes each cell down the nodes above it anew. Rows get the prediction of their cell.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -23,6 +28,8 @@ MAX_EDGES = 1 << 20
 MAX_NODES = 1 << 18
 #: Boosting rounds after which what is predicted so far is written, to bound the plan.
 ROUNDS = 8
+#: Trees of a forest whose sums are taken in one pass over the rows.
+TREES = 8
 
 
 def binned(rows: DataFrame, features: str, bins: int = 32, train: str = "train") -> DataFrame:
@@ -45,8 +52,8 @@ def _cuts(active: DataFrame, keys: list[str]) -> DataFrame:
 
     Of equal cuts it is the lowest feature and bin; rows at bin cut or below go left. Without a cut feature is null.
     """
-    cells = active.where("w > 0").select(*keys, "w", (F.col("w") * F.col("t")).alias("wt"), F.posexplode_outer("bins").alias("feature", "bin"))
-    sums = cells.groupBy(*keys, "feature", "bin").agg(F.sum("w").alias("w"), F.sum("wt").alias("wt"))
+    each = active.where("w > 0").select(*keys, "w", "wt", F.posexplode_outer("bins").alias("feature", "bin"))
+    sums = each.groupBy(*keys, "feature", "bin").agg(F.sum("w").alias("w"), F.sum("wt").alias("wt"))
     own = W.partitionBy(*keys, "feature")  # a row a bin
     upto = own.orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
     sides = sums.select(*keys, "feature", "bin", F.sum("w").over(upto).alias("a"), F.sum("wt").over(upto).alias("x"), F.sum("w").over(own).alias("n"), F.sum("wt").over(own).alias("s"))
@@ -82,14 +89,15 @@ def _taken(rows: DataFrame, depth: int) -> DataFrame:
 
 
 def _grown(rows: DataFrame, keys: list[str], depth: int) -> DataFrame:
-    """(keys, tree_): the tree of each key over rows(keys, w, t, bins), read once a level."""
+    """(keys, tree_): the tree of each key over rows(keys, w, wt, bins), wt being weight times target; read once a level."""
     found: DataFrame | None = None
     for level in range(max(1, depth)):
         if found is None:
             active = rows.withColumn("node", F.lit(1))
         else:
-            active = _taken(_met(rows, _packed(found, keys, depth), keys, 1 << depth, "inner"), level).where(F.col("node") >= (1 << level))
-        cuts = stored(_cuts(active, [*keys, "node"]))
+            active = _taken(_met(rows, _packed(found, keys, depth), keys, 1 << depth, "inner"), level)
+        # a filter before it is stored would go down through all steps, and each holds the one before it several times
+        cuts = stored(_cuts(active, [*keys, "node"])).where(F.col("node") >= (1 << level))
         found = cuts if found is None else found.unionByName(cuts)
     if not depth:
         found = found.withColumn("feature", F.lit(None).cast("int"))
@@ -111,28 +119,40 @@ def _end(tree: Column, depth: int) -> Column:
 
 def drawn_weight(*parts: Column) -> Column:
     """How often a row is drawn: Poisson with mean 1, from a hash of parts; in place of as many draws as there are rows."""
-    return _poisson(_uniform(*parts))
+    return _poisson(_drawn(*parts))
 
 
-def _uniform(*parts: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.concat_ws("-", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / float(1 << 32)
+def _drawn(*parts: Column) -> Column:
+    """32 bits in hex, which are ordered as text."""
+    return F.substring(F.md5(F.concat_ws("-", *[p.cast("string") for p in parts])), 1, 8)
 
 
-def _poisson(u: Column) -> Column:
-    weight, total, term = F.lit(12.0), 0.0, 0.36787944117144233
-    steps = []
+def _poisson(drawn: Column) -> Column:
+    weight, total, term = F, 0.0, 0.36787944117144233
     for k in range(12):
         total += term
-        steps.append((k, total))
+        edge = math.ceil(total * (1 << 32))
+        if edge >= 1 << 32:
+            return weight.otherwise(F.lit(float(k)))
+        weight = weight.when(drawn < f"{edge:08x}", F.lit(float(k)))
         term /= k + 1
-    for k, edge in reversed(steps):
-        weight = F.when(u < edge, F.lit(float(k))).otherwise(weight)
-    return weight
+    return weight.otherwise(F.lit(12.0))
 
 
 def _prepared(rows: DataFrame, by: list[str], id_col: str, target: str, train: str) -> DataFrame:
     learned = F.coalesce(F.expr(train), F.lit(False)) & F.col(target).isNotNull()
-    return rows.select(*by, F.col(id_col).alias("id_"), F.col(target).cast("double").alias("y"), learned.alias("learned"), "bins")
+    bins = F.coalesce("bins", F.array().cast("array<int>"))
+    return rows.select(*by, F.col(id_col).alias("id_"), F.col(target).cast("double").alias("y"), learned.alias("learned"), bins.alias("bins"))
+
+
+def _drawn_cells(base: DataFrame, by: list[str], trees: range, seed: int) -> DataFrame:
+    """(by, bins, sums): for each of trees the weight that it drew of a cell's training rows, and that times their targets."""
+    hashes = F.array(*[_drawn(F.lit(seed), F.lit(tree), *[F.col(c) for c in by], F.col("id_")) for tree in trees])
+    drawn = base.withColumn("drawn", F.when(F.col("learned"), hashes))
+    drawn = drawn.withColumn("drawn", F.transform("drawn", _poisson))  # null for what is held out
+    at = [F.get("drawn", F.lit(k)) for k in range(len(trees))]
+    sums = [F.struct(F.lit(tree).alias("tree"), F.sum(w).alias("w"), F.sum(F.when(w > 0, w * F.col("y"))).alias("wt")) for tree, w in zip(trees, at)]
+    return written(drawn.groupBy(*by, "bins").agg(F.array(*sums).alias("sums")))
 
 
 def forest(rows: DataFrame, by: list[str], trees: int, depth: int, id_col: str = "sample", target: str = "y", train: str = "train", seed: int = 0) -> DataFrame:
@@ -140,25 +160,27 @@ def forest(rows: DataFrame, by: list[str], trees: int, depth: int, id_col: str =
 
     rows has bins (see binned). A tree that drew none of a group's training rows has no say; a group without any is predicted null.
     """
-    uniform = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: _uniform(F.lit(seed), tree, *[F.col(c) for c in by], F.col("id_")))
-    drawn = F.transform(uniform, lambda u: F.when(F.col("learned"), _poisson(u)).otherwise(0.0).cast("byte"))
-    base = written(_prepared(rows, by, id_col, target, train).withColumn("drawn", drawn))
-    each = base.where("learned").select(*by, "bins", F.col("y").alias("t"), F.posexplode("drawn").alias("tree", "w")).where("w > 0").withColumn("w", F.col("w").cast("double"))
+    base = written(_prepared(rows, by, id_col, target, train))
+    drawn = [_drawn_cells(base, by, range(k, min(k + TREES, trees)), seed) for k in range(0, trees, TREES)]
+    each = reduce(DataFrame.unionByName, drawn).select(*by, "bins", F.inline("sums")).where("w > 0")
     grown = _grown(each, [*by, "tree"], depth).groupBy(*by).agg(F.collect_list("tree_").alias("trees_"))  # the trees of a group
-    found = _met(base, grown, by, trees << depth)
+    met = _met(drawn[0].select(*by, "bins"), grown, by, trees << depth, "inner")
     mean = F.aggregate(F.transform("trees_", lambda tree: _end(tree, depth)), F.lit(0.0), lambda s, v: s + v) / F.size("trees_")
-    return found.select(*by, F.col("id_").alias(id_col), F.col("y").alias(target), F.when(F.col("trees_").isNotNull(), mean).alias("predicted"))
+    found = base.join(met.select(*by, "bins", mean.alias("predicted")), [*by, "bins"], "left")
+    return found.select(*by, F.col("id_").alias(id_col), F.col("y").alias(target), "predicted")
 
 
 def boosted(rows: DataFrame, by: list[str], rounds: int, depth: int, rate: float = 0.1, id_col: str = "sample", target: str = "y", train: str = "train") -> DataFrame:
     """(by, id, target, predicted) of all rows: the training mean and rounds trees, each grown on what is left and added by rate."""
     base = written(_prepared(rows, by, id_col, target, train))
-    means = stored(base.where("learned").groupBy(*by).agg(F.avg("y").alias("predicted")))
-    state = _met(base, means, by, 1, "inner").withColumn("w", F.col("learned").cast("double"))
+    cells = written(base.groupBy(*by, "bins").agg(F.count_if("learned").cast("double").alias("w"), F.sum(F.when(F.col("learned"), F.col("y"))).alias("s")))
+    means = stored(cells.where("w > 0").groupBy(*by).agg((F.sum("s") / F.sum("w")).alias("predicted")))
+    state = _met(cells, means, by, 1, "inner")
     for k in range(rounds):
-        left = state.withColumn("t", F.coalesce(F.col("y") - F.col("predicted"), F.lit(0.0)))
-        after = _taken(_met(state, _grown(left.where("learned"), by, depth), by, 1 << depth), depth)
+        left = state.where("w > 0").withColumn("wt", F.col("s") - F.col("w") * F.col("predicted"))
+        after = _taken(_met(state, _grown(left, by, depth), by, 1 << depth), depth)
         state = after.withColumn("predicted", F.col("predicted") + rate * F.coalesce("value", F.lit(0.0))).drop("value", "node", "tree_")
         if k % ROUNDS == ROUNDS - 1:
             state = written(state)
-    return state.select(*by, F.col("id_").alias(id_col), F.col("y").alias(target), "predicted")
+    found = base.join(state.select(*by, "bins", "predicted"), [*by, "bins"])
+    return found.select(*by, F.col("id_").alias(id_col), F.col("y").alias(target), "predicted")

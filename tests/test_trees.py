@@ -100,3 +100,19 @@ def test_no_depth_and_no_features_give_the_mean(spark):
     assert {r.predicted for r in trees.boosted(df, ["trait"], 2, 2).collect()} == {1.5}
     one = spark.createDataFrame([(t, k, [k], y, tr) for t, k, _, y, tr in rows], df.schema)
     assert {r.predicted for r in trees.boosted(one, ["trait"], 2, 0).collect()} == {1.5}
+
+
+def test_trees_grow_on_cells(spark, monkeypatch):
+    """Rows of equal bins are one cell, whether features are null or not; what is not drawn does not count."""
+    rows = [("a", k, [k % 2, None if k % 3 else 1], float(k % 2) + (k == 7), k % 5 != 0) for k in range(60)] + [("a", 60, None, 1.0, True), ("a", 61, None, 9.0, False)]
+    df = spark.createDataFrame(rows, "trait string, sample int, bins array<int>, y double, train boolean").repartition(3)
+    seen, grown = [], trees._grown
+    monkeypatch.setattr(trees, "_grown", lambda rows, *rest: (seen.append(rows.count()), grown(rows, *rest))[1])
+    got = {r["sample"]: r for r in trees.boosted(df, ["trait"], 2, 1, 1.0).collect()}
+    assert len(got) == 62 and got[61].y == 9.0 and got[61].predicted == got[60].predicted and seen == [5, 5]
+    assert got[0].predicted == pytest.approx(got[2].predicted) and got[1].predicted > 0.9
+    monkeypatch.setattr(trees, "TREES", 2)  # trees in passes give the same
+    few = {r["sample"]: r.predicted for r in trees.forest(df, ["trait"], 3, 2).collect()}
+    assert len(few) == 62 and seen[2] <= 15
+    monkeypatch.setattr(trees, "TREES", 8)
+    assert {r["sample"]: r.predicted for r in trees.forest(df, ["trait"], 3, 2).collect()} == pytest.approx(few)
