@@ -42,7 +42,7 @@ def m2_boosting(spark, d):
 @query("m2_estimators", None)
 def m2_estimators(spark, d):
     """Held-out scores of kernel ridge and partial least squares on embeddings, for each supplier."""
-    rows = _site_rows(spark, d).select("site", "sample", "part", "y", F.col("emb").alias("x"))
+    rows, vectors = _site_rows(spark, d)
     makers = {"kernel_ridge": lambda: estimators.KernelRidge(1.0), "pls": lambda: estimators.PartialLeastSquares(2)}
-    found = estimators.fit_models(rows, {name: estimators.by_estimator(make) for name, make in makers.items()}, trait="site")
+    found = estimators.fit_models(rows, {name: estimators.by_estimator(make) for name, make in makers.items()}, trait="site", features="emb", vectors=vectors)
     return estimators.scores(found, ["site", "model"]).select("site", "model", "n", r6("pearson").alias("pearson"), r6("r2").alias("r2"))
